@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, secret_scan, tokens
+from . import mixing, packing, quality_classifier, quality_rules, secret_scan, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": quality_classifier.query,
+        "op4_mix_sources": mixing.query,
+        "op5_best_fit_packing": packing.query,
         "op7_secret_scan": secret_scan.query,
         "op8_token_counts": tokens.query,
         "op9_quality_rules": quality_rules.query,
