@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_classifier, quality_rules, secret_scan, tokens
+from . import embedding_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": quality_classifier.query,
+        "op3_embedding_near_dedup": embedding_dedup.query,
         "op4_mix_sources": mixing.query,
         "op5_best_fit_packing": packing.query,
         "op7_secret_scan": secret_scan.query,
