@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, tokens
+from . import embedding_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": mixing.query,
         "op5_best_fit_packing": packing.query,
         "op10_minhash_near_dedup": near_dedup.query,
+        "op6_lm_scoring": suffix_tree.query,
         "op7_secret_scan": secret_scan.query,
         "op8_token_counts": tokens.query,
         "op9_quality_rules": quality_rules.query,
