@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens
+from . import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_quality_classifier": quality_classifier.query,
         "op3_embedding_near_dedup": embedding_dedup.query,
         "op4_mix_sources": mixing.query,
