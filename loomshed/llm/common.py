@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
+#: Most bytes of a table that is sent to all executors.
+MOST_SENT = 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -86,3 +88,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             size += n or 0
         if at < len(lengths):
             yield batch.slice(at)
+
+
+def small(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """df, to be broadcast only if it has been counted and is under MOST_SENT; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= MOST_SENT else df

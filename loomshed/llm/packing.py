@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_text, slices
+from .common import Scratch, as_text, slices, small
 from .tokens import tokenizer_path, tokens
 
 CAPACITY = 2048
@@ -164,7 +164,7 @@ def pack(
     plan = plan_packing({r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("__task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    numbered = pieces.join(base, ["__task", "length"]).select("doc_id", "piece", "start", "length", name, (F.col("__base") + F.col("__number")).alias("__number"))
+    numbered = pieces.join(small(base, 24), ["__task", "length"]).select("doc_id", "piece", "start", "length", name, (F.col("__base") + F.col("__number")).alias("__number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

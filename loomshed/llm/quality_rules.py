@@ -80,15 +80,15 @@ def choose_cutoffs(counts: dict[tuple[str | None, str], np.ndarray], risk: Risk)
     return out
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, risk: Risk | None = None, stratum: str = "lang", work: Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def judge_quality(docs: DataFrame, labels: DataFrame, risk: Risk | None = None, stratum: str = "lang", keep: tuple[str, ...] = ("doc_id",), work: Scratch | None = None) -> DataFrame:
+    """One row per document: `keep` (with doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null texts have no words and fail. A null stratum is one of its own. A stratum with too few labelled good
     documents for any test keeps what the base rules keep. Without labels only the base rules hold. Repeated rows
     stay; other columns are ignored.
     """
     risk, work = risk or Risk(), work or Scratch(docs.sparkSession, "rules")
-    stats = work.save(with_stats(docs.select("doc_id", F.col(stratum).cast("string").alias("__stratum"), "text"), ("doc_id", "__stratum")).withColumn("base_failed", base_failed()), "stats")
+    stats = work.save(with_stats(docs.select(*keep, F.col(stratum).cast("string").alias("__stratum"), F.col("text").alias("__whole")), (*keep, "__stratum"), "__whole").withColumn("base_failed", base_failed()), "stats")
     good = stats.where("not base_failed").join(agreed_labels(labels, "quality"), "doc_id")
     # one row per rule holds all its steps; only strata that can pass a test go to the driver
     least = int(np.ceil(log(risk.delta / len(RULES)) / log1p(-risk.alpha)))
@@ -101,7 +101,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: Risk | None = None,
     failed = F.lit(False)
     for (s, rule), k in sorted(chosen.items(), key=str):
         failed = failed | (F.col("__stratum").eqNullSafe(F.lit(s)) & (step(rule) <= k))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~failed).alias("kept"))
+    return stats.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~failed).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_text, prepare, slices, words_of
 
@@ -62,7 +64,7 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     """`keep` and the statistics of every row; null texts count as empty."""
     prepare(docs.sparkSession)
     kinds = {c: "double" if c == "byte_bits" else "bigint" for c in COLUMNS}
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {k}" for c, k in kinds.items()])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType() if k == "double" else T.LongType()) for c, k in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -75,7 +77,5 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
 
 def agreed_labels(labels: DataFrame, column: str) -> DataFrame:
     """doc_id and label (0 or 1) where all of a document's labels agree; nulls are left out."""
-    from pyspark.sql import functions as F
-
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
     return known.groupBy("doc_id").agg(F.min(column).cast("int").alias("label"), F.max(column).cast("int").alias("__most")).where("label = __most").select("doc_id", "label")
