@@ -146,22 +146,23 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     buckets = work.save(buckets, "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs (a, b) those whose full sets are similar enough."""
+        """a, b, whether their full sets are similar enough, and how many shingles both have."""
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, last, left = WordHashes(), None, None
             for batch in slices(batches, "text_b", 4 << 20):
-                ok, a, text_a = [], batch.column("a").to_pylist(), batch.column("text_a")
+                ok, shared, a, text_a = [], [], batch.column("a").to_pylist(), batch.column("text_a")
                 for k, t in enumerate(batch.column("text_b").to_pylist()):
                     if a[k] != last:
                         last, left = a[k], shingles(text_a[k].as_py(), size, known)
                     right = shingles(t, size, known)
                     both = left.size + right.size - np.unique(np.concatenate([left, right])).size
+                    shared.append(both)
                     ok.append(100 * both >= percent * (left.size + right.size - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(shared, pa.int64())], names=["a", "b", "ok", "both"])
 
         left, right = texts.select(F.col("__row").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("__row").alias("b"), F.col("text").alias("text_b"))
-        return work.save(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, ok boolean"), name)
+        return work.save(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, ok boolean, both bigint"), name)
 
     c = F.col("centre")
     stars = buckets.where((c["row"] != F.col("row")) & may_link(c["n"], F.col("n"), c["n"] - c["own"], F.col("n") - F.col("own"), percent)).select(F.least("row", c["row"]).alias("a"), F.greatest("row", c["row"]).alias("b")).distinct()
@@ -173,9 +174,19 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     marked = buckets.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     by_key = Window.partitionBy("key")
     marked = marked.withColumn("same", F.count("*").over(Window.partitionBy("key", "component"))).withColumn("all", F.count("*").over(by_key)).where("same < all").withColumn("largest", F.max(F.struct("same", "component")).over(by_key)["component"])
-    marked = work.save(marked.select("key", "row", "n", (F.col("n") - F.col("own")).alias("shared"), "component", "largest", c["row"].alias("centre")), "marked")
+    # What two members share is in the centre or outside it. Inside they share no more than either shares with the
+    # centre; outside no more than either has there, without what it has alone (which the centre can't have).
+    overlap = stars.select("a", "b", "both")
+    marked = marked.withColumn("a", F.least("row", c["row"])).withColumn("b", F.greatest("row", c["row"])).join(overlap, ["a", "b"], "left")
+    shared = F.col("n") - F.col("own")
+    inside = F.when(F.col("row") == c["row"], F.col("n")).otherwise(F.coalesce("both", shared))
+    outside = F.when(F.col("row") == c["row"], F.lit(0)).otherwise(shared - F.coalesce("both", F.lit(0)))
+    # by centre and largest component a pair meets once, however many buckets both are in
+    marked = work.save(marked.select(c["row"].alias("centre"), "largest", "component", "row", "n", inside.alias("inside"), outside.alias("outside"), shared.alias("shared")).distinct(), "marked")
     x, y = marked.where("component != largest").alias("x"), marked.alias("y")
-    open_pairs = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))) & may_link(F.col("x.n"), F.col("y.n"), F.col("x.shared"), F.col("y.shared"), percent)
+    overlap = F.least("x.shared", "y.shared", F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"))
+    possible = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
+    open_pairs = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.largest") == F.col("y.largest")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))) & possible
     rest = x.join(y, open_pairs).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     rest = confirmed(work.save(rest, "rest"), "rest_links")
     final = connected_components(links.union(rest.where("ok").select("a", "b")), work, "final")
