@@ -1,0 +1,37 @@
+"""A data source in Python: rows of a counting sequence, dealt into partitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+def register(spark: SparkSession) -> None:
+    """format("counter") with options `rows`, `step` and `partitions`: columns n and square.
+
+    The classes are made here so that they travel to the workers as they are, whether or not those can import this package.
+    """
+
+    class CounterReader(DataSourceReader):
+        def __init__(self, rows: int, step: int, parts: int):
+            self.rows, self.step, self.parts = rows, step, parts
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(k) for k in range(self.parts)]
+
+        def read(self, partition: InputPartition):
+            for k in range(partition.value, self.rows, self.parts):
+                yield k * self.step, (k * self.step) ** 2
+
+    class CounterSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "counter"
+
+        def schema(self) -> str:
+            return "n bigint, square bigint"
+
+        def reader(self, schema) -> DataSourceReader:
+            return CounterReader(int(self.options.get("rows", 10)), int(self.options.get("step", 1)), int(self.options.get("partitions", 2)))
+
+    spark.dataSource.register(CounterSource)
