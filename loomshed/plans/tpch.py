@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from . import query
 
-_REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def _revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query("""
@@ -20,7 +22,7 @@ def tpch_shipping_priority(spark, d):
     """The ten open orders of a segment with the most revenue."""
     c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     o = table(spark, d, "orders").where("o_orderdate < TIMESTAMP_NTZ '1998-03-15'").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, d, "lineitem").where("l_shipdate > TIMESTAMP_NTZ '1995-03-15'").select("l_orderkey", _REVENUE.alias("r"))
+    li = table(spark, d, "lineitem").where("l_shipdate > TIMESTAMP_NTZ '1995-03-15'").select("l_orderkey", _revenue().alias("r"))
     sums = o.join(c, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum("r"), 2).alias("revenue"))
     return sums.orderBy(F.desc("revenue"), "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
 
@@ -34,8 +36,8 @@ def tpch_shipping_priority(spark, d):
 def tpch_pricing_summary(spark, d):
     li = table(spark, d, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_REVENUE), 2).alias("sum_disc"),
-        F.round(F.sum(_REVENUE * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_revenue()), 2).alias("sum_disc"),
+        F.round(F.sum(_revenue() * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
         F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )
 
@@ -50,7 +52,7 @@ def tpch_local_suppliers(spark, d):
     """Revenue by nation where customer and supplier are of one nation: six tables."""
     nations = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
     s = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
-    li = table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey", "n_name", _REVENUE.alias("r"))
+    li = table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey", "n_name", _revenue().alias("r"))
     oc = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     return li.join(oc, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"))
 
@@ -76,7 +78,7 @@ def tpch_order_priority(spark, d):
     QUALIFY rank() OVER (ORDER BY round(r, 2) DESC) <= 3
 """)
 def tpch_top_suppliers(spark, d):
-    sums = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(_REVENUE), 2).alias("total"))
+    sums = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(_revenue()), 2).alias("total"))
     best = sums.orderBy(F.desc("total")).limit(3).agg(F.min("total")).scalar()  # a top-k, not a sort of everything
     return sums.where(F.col("total") >= best).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_name", "total")
 
