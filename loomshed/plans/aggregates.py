@@ -149,3 +149,21 @@ def agg_sketches(spark, d):
     )
     near = lambda c: F.abs(F.col(c) - F.col("x")) <= 0.06 * F.col("x")
     return e.select(near("h").alias("hll_close"), near("a").alias("theta_close"), F.col("q").between(F.col("p")[0], F.col("p")[1]).alias("quantile_close"))
+
+
+@query("SELECT mode(lang) AS lang, mode(o_orderstatus) AS status FROM (SELECT lang, NULL AS o_orderstatus FROM documents UNION ALL SELECT NULL, o_orderstatus FROM orders WHERE o_orderstatus <> 'F')")
+def agg_mode(spark, d):
+    docs, o = table(spark, d, "documents").select("lang"), table(spark, d, "orders").where("o_orderstatus <> 'F'").select("o_orderstatus")
+    return docs.unionByName(o, allowMissingColumns=True).agg(F.mode("lang").alias("lang"), F.mode("o_orderstatus").alias("status"))
+
+
+@query("SELECT round(sum(power(l_quantity - m, 3)) / count(*) / power(any_value(s), 3), 6) AS skew, round(sum(power(l_quantity - m, 4)) / count(*) / power(any_value(s), 4) - 3, 6) AS kurt FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem)")
+def agg_moments(spark, d):
+    """Skewness and excess kurtosis of the population."""
+    return table(spark, d, "lineitem").agg(F.round(F.skewness("l_quantity"), 6).alias("skew"), F.round(F.kurtosis("l_quantity"), 6).alias("kurt"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names, any_value(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey")
+def agg_listagg_sql(spark, d):
+    table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).createOrReplaceTempView("listagg_nation")
+    return spark.sql("SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names, any_value(r_name) AS region FROM listagg_nation GROUP BY n_regionkey")

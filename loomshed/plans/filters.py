@@ -95,3 +95,23 @@ def cast_and_flags(spark, d):
 def sample_rows(spark, d):
     """A tenth of the rows, by a seed; sampling is the feature."""
     return table(spark, d, "lineitem").sample(fraction=0.1, seed=7)
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN doc_id > 50 THEN doc_id END FROM labels)")
+def subquery_not_in_null(spark, d):
+    """A null in the list leaves no row: what is unknown isn't false."""
+    table(spark, d, "documents").createOrReplaceTempView("not_in_documents")
+    table(spark, d, "labels").createOrReplaceTempView("not_in_labels")
+    return spark.sql("SELECT count(*) AS n FROM not_in_documents WHERE doc_id NOT IN (SELECT CASE WHEN doc_id > 50 THEN doc_id END FROM not_in_labels)")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'P') AND o_orderstatus <> 'P'")
+def subquery_all(spark, d):
+    """>= ALL is >= the greatest."""
+    o = table(spark, d, "orders")
+    return o.where((F.col("o_orderstatus") != "P") & (F.col("o_totalprice") >= o.where("o_orderstatus = 'P'").agg(F.max("o_totalprice")).scalar())).select("o_orderkey")
+
+
+@query("SELECT * FROM (SELECT l_shipdate, l_quantity FROM lineitem) WHERE l_shipdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-31' AND l_quantity IN (1, 2, 3)")
+def filter_dates(spark, d):
+    return table(spark, d, "lineitem").where("l_shipdate BETWEEN TIMESTAMP_NTZ '1996-03-01' AND TIMESTAMP_NTZ '1996-03-31' AND l_quantity IN (1, 2, 3)").select("l_shipdate", "l_quantity")

@@ -172,3 +172,17 @@ def join_salted(spark, d):
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang HAVING count(*) >= 0.12 * (SELECT count(*) FROM documents)")
 def heavy_keys(spark, d):
     return heavy_hitters(table(spark, d, "documents"), "lang", 0.12)
+
+
+@query("SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_broadcast_hint(spark, d):
+    """Two tables of fixed size go to all tasks; the large one isn't shuffled for its joins."""
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > c.c_nationkey AND n_regionkey = 0)")
+def join_anti_theta(spark, d):
+    """An inequality against a table of fixed size."""
+    n = table(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey")
+    return table(spark, d, "customer").join(n, F.col("n_nationkey") > F.col("c_nationkey"), "left_anti").select("c_custkey")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import counter
@@ -114,3 +115,32 @@ def udf_sql(spark, d):
 def python_source(spark, d):
     counter.register(spark)
     return spark.read.format("counter").options(rows=40, step=3, partitions=4).load()
+
+
+@query("SELECT p_partkey, round(max(p_retailprice) OVER (PARTITION BY p_brand) - p_retailprice, 2) AS below FROM part")
+def udaf_window(spark, d):
+    """An aggregate in pandas over a window."""
+
+    @F.pandas_udf("double")
+    def most(s: pd.Series) -> float:
+        return float(s.max())
+
+    return table(spark, d, "part").select("p_partkey", F.round(most("p_retailprice").over(Window.partitionBy("p_brand")) - F.col("p_retailprice"), 2).alias("below"))
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def udtf_api(spark, d):
+    """A table function called from Python over a whole table."""
+
+    @F.udtf(returnType="n_regionkey int, n bigint")
+    class Count:
+        def __init__(self):
+            self.key, self.n = None, 0
+
+        def eval(self, row):
+            self.key, self.n = row["n_regionkey"], self.n + 1
+
+        def terminate(self):
+            yield self.key, self.n
+
+    return Count(table(spark, d, "nation").asTable().partitionBy("n_regionkey"))

@@ -136,3 +136,44 @@ def scalar_ngrams(spark, d):
 def scalar_try(spark, d):
     """Division by zero gives null where it would stop a strict session."""
     return table(spark, d, "orders").select("o_orderkey", F.try_divide("o_totalprice", F.col("o_orderkey") % 3).isNull().alias("none"), F.col("o_orderkey").isNotNull().alias("some"))
+
+
+@query("""
+    SELECT event_id, hour(ts) AS h, minute(ts) AS m, floor(second(ts))::BIGINT AS s, make_date(year(ts), month(ts), 1) AS first, (ts - INTERVAL 90 MINUTE)::TIMESTAMP AS before, ts > TIMESTAMP '2024-01-15 12:00:00' AS late FROM events
+""")
+def scalar_times(spark, d):
+    t = F.col("ts")
+    return table(spark, d, "events").select(
+        "event_id", F.hour(t).cast("bigint").alias("h"), F.minute(t).cast("bigint").alias("m"), F.second(t).cast("bigint").alias("s"), F.make_date(F.year(t), F.month(t), F.lit(1)).alias("first"), (t - F.expr("INTERVAL '90' MINUTE")).alias("before"), (t > F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'")).alias("late")
+    )
+
+
+@query("""
+    SELECT n_name, round_even(n_nationkey / 2.0, 0)::DOUBLE AS even, round(radians(n_nationkey), 9) AS rad, n_nationkey << 3 AS shifted, bit_count(n_nationkey)::BIGINT AS bits, upper(n_name[1]) || lower(n_name[2:]) AS cap FROM nation
+""")
+def scalar_more_math(spark, d):
+    k = F.col("n_nationkey")
+    return table(spark, d, "nation").select("n_name", F.bround(k / 2.0, 0).alias("even"), F.round(F.radians(k), 9).alias("rad"), F.shiftleft(k, 3).alias("shifted"), F.bit_count(k).cast("bigint").alias("bits"), F.initcap(F.lower("n_name")).alias("cap"))
+
+
+@query("""
+    SELECT n_regionkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, list_contains(a, 3) AS has, list_position(a, 7)::BIGINT AS at, len(flatten([a, b]))::BIGINT AS n, list_aggregate(list_transform(list_zip(a, b), lambda z: z[1] * z[2]), 'sum')::BIGINT AS dot
+    FROM (SELECT n_regionkey, [1, 3, 7, n_regionkey] AS a, [3, n_regionkey, 9, 1] AS b FROM nation)
+""")
+def scalar_more_arrays(spark, d):
+    a, b = (F.array(*(F.lit(x) if isinstance(x, int) else F.col(x) for x in xs)) for xs in ((1, 3, 7, "n_regionkey"), (3, "n_regionkey", 9, 1)))
+    text = F.array_join(F.transform(F.array_sort(F.array_intersect(a, b)), lambda x: x.cast("string")), ",")
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return table(spark, d, "nation").select("n_regionkey", text.alias("both"), F.array_contains(a, 3).alias("has"), F.array_position(a, 7).alias("at"), F.size(F.flatten(F.array(a, b))).cast("bigint").alias("n"), dot.alias("dot"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '[?]([^#]*)', 1), ''), 'none') AS q, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages")
+def scalar_urls(spark, d):
+    part = lambda p, other: F.coalesce(F.nullif(F.try_parse_url(F.col("url"), F.lit(p)), F.lit("")), F.lit(other))
+    return table(spark, d, "pages").select("page_id", part("QUERY", "none").alias("q"), part("PATH", "/").alias("path"))
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def scalar_map_entries(spark, d):
+    """JSON as a map, its entries as rows."""
+    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")).where(F.col("value").isNotNull())

@@ -113,3 +113,32 @@ def stream_foreach_batch(spark, d):
     from ..streaming.replay import batch_sink
 
     return batch_sink(event_stream(spark, d).select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR])::TIMESTAMP AS start FROM events) GROUP BY start
+""")
+def stream_sliding(spark, d):
+    w = event_stream(spark, d).groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
+    return collected(w, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id, first, n FROM (" + _SESSIONS.format(">=") + ") WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_session(spark, d):
+    """Append mode: sessions that the watermark has closed."""
+    w = event_stream(spark, d).withWatermark("ts", "10 minutes").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("first"), F.count("*").alias("n"))
+    return collected(w, "append").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_update(spark, d):
+    """Update mode puts out each group that a batch has changed; the last of them is how it stands."""
+    u = collected(event_stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "update")
+    return u.groupBy("event_type").agg(F.max("n").alias("n"))
+
+
+@query("SELECT event_id, n_name FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_type = 'error'")
+def stream_enrich(spark, d):
+    """Rows of a stream beside a fixed table, without state."""
+    e = event_stream(spark, d).where("event_type = 'error'")
+    return collected(e.join(table(spark, d, "nation"), F.col("user_id") % 25 == F.col("n_nationkey")).select("event_id", "n_name"), "append")
