@@ -83,3 +83,13 @@ def test_formats_keep_values(spark, kind):
     df = spark.createDataFrame([(1, 'a "b", c', 0.5), (2, "ü\t", -1e9), (3, None, None)], "n int, s string, x double")
     got = sorted((r.n, (r.s or "").strip() or None, r.x) for r in round_trip(df, kind).collect())
     assert got == [(1, 'a "b", c', 0.5), (2, "ü", -1e9), (3, None, None)]
+
+
+def test_missing_connectors_say_what_they_need(spark, tmp_path):
+    from loomshed.sources.connectors import MissingConnector, read_avro, read_kafka
+
+    for read in (lambda: read_avro(spark, str(tmp_path)), lambda: read_kafka(spark, "localhost:1", "t")):
+        try:
+            read()
+        except MissingConnector as e:
+            assert "--packages org.apache.spark" in str(e)
