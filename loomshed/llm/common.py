@@ -43,21 +43,28 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.tables.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
+        self.tables = [t for t in self.tables if t not in names]
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def keep(self, before: int, *names: str) -> None:
+        """Of the tables made since there were `before`, remove all but those that the result still reads."""
+        self.drop(*(t for t in self.tables[before:] if t not in names))
+
+
 def as_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 

@@ -114,6 +114,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = No
     Extra columns are ignored.
     """
     work = work or Scratch(vectors.sparkSession, "vectors")
+    before = len(work.tables)
     all_rows = work.save(vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").cast("array<float>").alias("x")).withColumn("row", F.monotonically_increasing_id()), "rows")
     sound = F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     usable = all_rows.where(sound).withColumn("dim", F.size("x"))
@@ -159,6 +160,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = No
     found = work.save(placed.groupBy("shard").applyInArrow(compare, "row bigint, n bigint, root bigint"), "found")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     groups = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")), work)
+    work.keep(before, "rows", "found", *(t for t in work.tables if t.startswith("components_")))
     keyed = all_rows.select("row", "key").join(counts, "row", "left").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     smallest = keyed.where("n_links is not null").groupBy("component").agg(F.min("key").alias("component_id"))
     result = keyed.join(smallest, "component", "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_text, slices
@@ -109,6 +109,7 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     row of each component, also among rows of one doc_id. Empty tables give no row.
     """
     work, sketch = work or Scratch(rows.sparkSession, "near"), sketch or Sketch()
+    before = len(work.tables)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, probes = WordHashes(), sketch.probes()
@@ -126,8 +127,10 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     sets = work.save(texts.mapInArrow(sketched, f"__row bigint, doc_id {id_kind}, n_shingles bigint, digest binary, bands array<bigint>"), "sets")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     classes = work.save(sets.where("n_shingles > 0").groupBy("digest").agg(F.min(place).alias("least"), F.min(F.struct("__row", "n_shingles", "bands")).alias("x")).select("digest", "least", F.col("x.__row").alias("row"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
-    members = classes.select("row", "n", F.explode("bands").alias("key")).withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1").drop("many")
-    members = work.save(members, "members")
+    # counted by aggregates, not by a window: a hot bucket's rows are added up where they are, and its join is split
+    keyed = classes.select("row", "n", F.explode("bands").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    members = work.save(keyed.join(shared_keys, "key"), "members")
 
     # of each candidate, how many of its shingles another candidate has too
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +145,9 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     chosen = texts.join(candidates, texts["__row"] == candidates["row"]).select("__row", "text")
     alone = chosen.mapInArrow(spread, "row bigint, h bigint").groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("row")).where("c = 1").groupBy("row").agg(F.count("*").alias("own"))
     known = candidates.join(alone, "row", "left").select("row", "n", F.coalesce("own", F.lit(0)).alias("own")).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    buckets = members.drop("n").join(work.save(known, "known"), "row").withColumn("centre", F.min(F.struct("own", "row", "n")).over(Window.partitionBy("key")))
-    buckets = work.save(buckets, "buckets")
+    alive = work.save(members.drop("n").join(work.save(known, "known"), "row"), "alive")
+    centres = work.save(alive.groupBy("key").agg(F.min(F.struct("own", "row", "n")).alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
+    buckets = work.save(alive.join(centres, "key"), "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, whether their full sets are similar enough, and how many shingles both have."""
@@ -171,9 +175,11 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     groups = connected_components(links, work, "first")
 
     # where a bucket holds several components: members outside its largest one against the others
-    marked = buckets.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    by_key = Window.partitionBy("key")
-    marked = marked.withColumn("same", F.count("*").over(Window.partitionBy("key", "component"))).withColumn("all", F.count("*").over(by_key)).where("same < all").withColumn("largest", F.max(F.struct("same", "component")).over(by_key)["component"])
+    # a bucket of two has no other pair than that with its centre
+    marked = buckets.where("many > 2").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    parts = work.save(marked.groupBy("key", "component").agg(F.count("*").alias("same")), "parts")
+    several = parts.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("same", "component")).alias("largest")).where("components > 1")
+    marked = marked.join(work.save(several.select("key", F.col("largest.component").alias("largest")), "several"), "key")
     # What two members share is in the centre or outside it. Inside they share no more than either shares with the
     # centre; outside no more than either has there, without what it has alone (which the centre can't have).
     overlap = stars.select("a", "b", "both")
@@ -192,8 +198,9 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     final = connected_components(links.union(rest.where("ok").select("a", "b")), work, "final")
 
     grouped = classes.select("digest", "row", "least").join(final.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    heads = grouped.groupBy("component").agg(F.min("least").alias("head"))
+    heads = work.save(grouped.groupBy("component").agg(F.min("least").alias("head")), "least")
     heads = work.save(grouped.join(heads, "component").select("digest", "head"), "heads")
+    work.keep(before, "sets", "heads")
     result = sets.select("__row", "doc_id", "n_shingles", "digest").join(heads, "digest", "left")
     head = F.coalesce("head", place)
     return result.select("__row", "doc_id", "n_shingles", head["doc_id"].alias("component_id"), F.col("doc_id").eqNullSafe(head["doc_id"]).alias("kept"), (F.col("__row") == head["__row"]).alias("first"))
