@@ -15,8 +15,8 @@ from llm.helpers import ODD, documents, prose
 
 from loomshed.llm import quality_classifier, quality_rules
 from loomshed.llm.quality_classifier import fit, score_quality
-from loomshed.llm.quality_rules import GRID, Risk, binomial_cdf, choose_cutoffs, judge_quality
-from loomshed.llm.stats import repeat_words
+from loomshed.llm.quality_rules import GRID, LEVELS, Risk, binomial_cdf, judge_quality, propose, proven_level
+from loomshed.llm.stats import COLUMNS, repeat_words, text_stats
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -59,22 +59,85 @@ def test_binomial(n, p):
         assert abs(binomial_cdf(k, n, p) - float(exact)) < 1e-9 if k >= 0 else True
 
 
-def test_cutoffs_keep_their_promise():
-    """Over many samples of one population, a chosen cutoff loses more than alpha hardly ever."""
-    rng, risk, wrong = np.random.default_rng(0), Risk(0.02, 0.05), 0
-    loss = np.sort(rng.beta(1, 12, 200_000))
-    for _ in range(200):
-        steps = lambda x: np.bincount(np.clip(np.ceil(np.log(x / GRID[0]) / np.log(GRID[1] / GRID[0])), 0, len(GRID)).astype(int), minlength=len(GRID) + 1)
-        x = np.stack([steps(rng.choice(loss, 800)), steps(rng.beta(6, 6, 300))])
-        k = choose_cutoffs({("en", "symbols"): x}, risk).get(("en", "symbols"))
-        wrong += k is not None and (loss >= GRID[k]).mean() > risk.alpha
-    assert wrong / 200 <= risk.delta
-
-
-def test_strata_without_evidence_reject_nothing():
-    few = np.zeros((2, len(GRID) + 1), np.int64)
-    few[0, -1], few[1, 5] = 50, 50
-    assert choose_cutoffs({("xx", "symbols"): few}, Risk()) == {}
+def test_a_stratum_keeps_its_limit():
+    """Over many holdouts of one population, all rules together lose more than alpha hardly ever, and the proof is not in vain."""
+    rng, risk, wrong, proven = np.random.default_rng(0), Risk(0.02, 0.05), 0, 0
+    loss = np.array([0.004, 0.003, 0.006, 0.006, 0.005, 0.01, 0.02])  # of each level beyond the one before: the limit is crossed at the fifth
+    for _ in range(2000):
+        first = rng.multinomial(900, [*loss, 1 - loss.sum()])
+        k = proven_level(first, risk, 1)
+        wrong += k >= 0 and loss[: k + 1].sum() > risk.alpha
+        proven += k >= 0
+    assert wrong / 2000 <= risk.delta and proven > 1500
+
+
+def test_levels_grow_stricter_and_need_evidence():
+    rng = np.random.default_rng(2)
+    counts = np.stack([np.bincount(np.clip(rng.normal(70, 12, 4000), 0, len(GRID)).astype(int), minlength=len(GRID) + 1), np.bincount(np.clip(rng.normal(30, 12, 900), 0, len(GRID)).astype(int), minlength=len(GRID) + 1)])
+    cuts = propose(counts, 1)
+    lost = np.cumsum(counts[0])
+    assert cuts == sorted(cuts) and cuts[-1] > cuts[0] >= 0 and all(lost[c] <= share * 4000 for c, share in zip(cuts, LEVELS, strict=True))
+    assert propose(np.zeros((2, len(GRID) + 1), int), 10) == [-1] * len(LEVELS)
+    few = np.zeros(len(LEVELS) + 1, int)
+    few[-1] = Risk().least(1) - 1
+    assert proven_level(few, Risk(), 1) == -1 and proven_level(few + (few > 0), Risk(), 1) == len(LEVELS) - 1
+
+
+def judged_brute(rows, labels, risk):
+    """doc_id -> kept, from the definitions: rows (doc_id, text, lang), agreed labels by doc_id."""
+    ratio = lambda k: GRID[0] * (GRID[1] / GRID[0]) ** k
+    steps, passed = {}, {}
+    for i, t, lang in rows:
+        x = dict(zip(COLUMNS, text_stats(t or ""), strict=True))
+        n = x["n_words"]
+        passed[i] = n >= 10 and 100 * x["n_repeat_words"] <= 20 * n
+        values = n and [x["n_symbols"] / n, x["n_repeat_words"] / n, x["n_dup_lines"] / max(1, x["n_lines"]), x["n_upper"] / max(1, x["n_letters"]), x["n_marks"] / n, x["n_digits"] / n, x["n_top"] / n, 1 - x["n_unique_pairs"] / n, x["word_chars"] / n / 100, 10 / n]
+        steps[i] = [next((k for k in range(len(GRID)) if v >= ratio(k) * (1 - 1e-9)), len(GRID)) for v in values or [0] * 10]
+    kept = dict(passed)
+    of = lambda lang, part, y: [i for i, _, l in rows if l == lang and passed[i] and labels.get(i) == y and (zlib.crc32(str(i).encode()) % 3 == 0) == part]  # noqa: E731, E741
+    able = [s for s in {l for _, _, l in rows} if len(of(s, False, 1)) >= risk.least(1)]  # noqa: E741
+    strata = [s for s in able if len(of(s, False, 1)) >= risk.least(len(able))]
+    for s in strata:
+        good, bad, held = of(s, True, 1), of(s, True, 0), of(s, False, 1)
+        level, before = [], [-1] * 10
+        for share in LEVELS:
+            for r in range(10):
+                best, worth = -1, 0
+                for k in range(len(GRID)):
+                    lost, caught = sum(steps[i][r] <= k for i in good), sum(steps[i][r] <= k for i in bad)
+                    if lost <= share * len(good) and caught - risk.price * lost > worth:
+                        best, worth = k, caught - risk.price * lost
+                before[r] = max(before[r], best)
+            level.append(list(before))
+        chosen = None
+        for cuts in level:
+            lost = sum(any(a <= c for a, c in zip(steps[i], cuts, strict=True)) for i in held)
+            if binomial_cdf(lost, len(held), risk.alpha) > risk.delta / len(strata) or lost > risk.alpha * len(held):
+                break
+            chosen = cuts
+        for i, _, l in rows:  # noqa: E741
+            if chosen and l == s and any(a <= c for a, c in zip(steps[i], chosen, strict=True)):
+                kept[i] = False
+    return kept
+
+
+def test_kept_equals_brute_force(spark):
+    """Three languages, one of them null and one with too few labels, over texts of all kinds."""
+    rng, rows, labels = random.Random(8), [], []
+    for k in range(700):
+        text = prose(k, 15 + k % 70) if k % 3 else junk(k, 12 + k % 30) if k % 2 else prose(k, 40, 9)
+        if k % 50 == 1:
+            text += " ##"
+        lang = None if k % 5 == 0 else "xx" if k % 17 == 0 else "en"
+        rows.append((k, text, lang))
+        if rng.random() < 0.85:
+            labels.append((k, int(k % 3 > 0) if rng.random() < 0.97 else 0, 0))
+    rows += [(1000 + k, t, "en") for k, t in enumerate(ODD)] + [(2000, "word " * 20000, "en"), (2001, prose(3, 30000, 10**6), None)]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    risk = Risk(0.03, 0.1)
+    got = {r.doc_id: r.kept for r in judge_quality(docs, spark.createDataFrame(labels, LABELS), risk).collect()}
+    want = judged_brute(rows, {i: q for i, q, _ in labels}, risk)
+    assert got == want and any(not got[i] for i, t, _ in rows if i < 700 and not i % 3)
 
 
 def test_rules_catch_junk_and_leave_prose(spark):
