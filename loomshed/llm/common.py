@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,8 +31,10 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors see; a temporary one only where none is set and all run in one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not conf:
         conf = "file://" + tempfile.mkdtemp(prefix="loomshed-")
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -59,6 +62,10 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of jobs whose results are written down: it does when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def keep(self, before: int, *names: str) -> None:
         """Of the tables made since there were `before`, remove all but those that the result still reads."""
