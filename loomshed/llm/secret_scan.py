@@ -1,8 +1,9 @@
-"""Secrets in texts: three fixed patterns, and windows of high entropy in long candidate strings.
+"""Secrets in texts: three fixed patterns, and windows of high entropy in candidate strings.
 
 The method slides a window over each candidate and keeps the counts of its characters; the entropy
 follows from the counts as one character enters and one leaves, so a window costs a constant.
-A candidate is flagged if a window's Shannon entropy reaches the threshold of its character class.
+A candidate is flagged if a window's Shannon entropy reaches a share of what as many random characters of its class
+are expected to have. Every candidate is scored, whether or not a pattern has found it or a part of it too.
 Allow-listed candidates are left alone.
 """
 
@@ -10,10 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import accumulate
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,24 +26,32 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 #: Each of these takes the same matches as its `+` form followed by the length test.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A candidate is a run of these; the classes are tried in this order.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
+#: A candidate is a run of these, with what fills up base64.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Classes by pattern and number of characters; the first that matches counts.
+CLASSES = ((re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), (re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36), (re.compile(r"[A-Za-z0-9]+"), 62), (re.compile(r"[A-Za-z0-9+/_-]+={0,2}"), 64))
 
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """Window length and least entropy (bits) by class; what the allow list matches is never flagged."""
+    """Window length, and the least share of the entropy expected of random characters; what the allow list matches is never flagged."""
 
     window: int = 20
-    least: dict[str, float] = field(default_factory=lambda: {"hex": 3.1, "alnum": 3.9, "base64": 4.0})
-    #: Words, paths, identifiers, dates, UUIDs and filler: a secret needs digits and letters mixed closely.
+    share: float = 0.88
+    #: Words, paths, identifiers, numbers, times, UUIDs and filler: a secret needs digits and letters mixed closely.
     allow: tuple[str, ...] = (
-        r"[A-Za-z]+", r"[0-9]+", r"[=_+/-]+", r"(.)\1+", r"[A-Za-z]+([_/=+-]+[A-Za-z]+)+[0-9]{0,4}", r"[0-9]+([_/=+-]+[0-9]+)+",
+        r"[A-Za-z]+[0-9]{0,4}", r"[0-9]+", r"[=_+/-]+", r"(.)\1+", r"[A-Za-z]*([_/+-]+[A-Za-z]*)+[0-9]{0,4}=*", r"[0-9TZ]+([_/+-]+[0-9TZ]+)+",
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|sample|dummy|placeholder|xxxx|changeme).*",
     )
 
 
+@lru_cache(maxsize=None)
+def expected_entropy(symbols: int, n: int) -> float:
+    """Mean bits per character of n random characters out of `symbols`."""
+    p = 1 / symbols
+    return math.log2(n) - symbols / n * sum(math.comb(n, c) * p**c * (1 - p) ** (n - c) * c * math.log2(c) for c in range(1, n + 1))
+
+
 def peak_entropy(text: str, window: int) -> float:
     """Most bits per character in any window; a shorter text is one window."""
     n = min(window, len(text))
@@ -71,16 +79,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def entropy_spans(text: str, rule: EntropyRule, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Flagged candidates that touch no base span."""
-    starts, reach, found = [x[0] for x in base], list(accumulate((x[2] for x in base), max)), []
+def entropy_spans(text: str, rule: EntropyRule) -> list[tuple[int, int, int]]:
+    """Flagged candidates, as base_spans gives its own."""
+    found = []
     for m in CANDIDATE.finditer(text):
-        k, word = bisect_left(starts, m.end()), m[0]
-        if k and reach[k - 1] > m.start() or any(re.fullmatch(p, word) for p in rule.allow):
-            continue
-        kind = next(k for k, p in CLASSES if p.fullmatch(word))
-        if peak_entropy(word, rule.window) >= rule.least[kind]:
-            found.append((m.start(), 3, m.end()))
+        word = m[0]
+        if not word.isalpha() and not any(re.fullmatch(p, word) for p in rule.allow):
+            symbols = next(n for p, n in CLASSES if p.fullmatch(word))
+            if peak_entropy(word, rule.window) >= rule.share * expected_entropy(symbols, min(rule.window, len(word))):
+                found.append((m.start(), 3, m.end()))
     return found
 
 
@@ -88,7 +95,7 @@ def scan_secrets(docs: DataFrame, rule: EntropyRule | None = None, text: str = "
     """One row per document: the columns of `keep` and spans array<struct<kind,start,stop>>.
 
     spans are sorted by start, then kind; they hold code points, ends exclusive. The base spans of the three
-    patterns always stay; the entropy method adds candidates that touch no base span. Null and empty texts give
+    patterns always stay; the entropy method adds its candidates, also where a base span is. Null and empty texts give
     an empty list; repeated rows stay; other columns are ignored.
     """
     prepare(docs.sparkSession)
@@ -103,7 +110,7 @@ def scan_secrets(docs: DataFrame, rule: EntropyRule | None = None, text: str = "
             out = []
             for t in batch.column(column).to_pylist():
                 base = base_spans(t)
-                out.append([{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in sorted(base + entropy_spans(t, rule, base))])
+                out.append([{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in sorted(base + entropy_spans(t, rule))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*batch.schema.names[:-1], "spans"])
 
     return source.mapInArrow(run, schema)
