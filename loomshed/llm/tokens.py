@@ -9,7 +9,6 @@ is widened, at last to the rest of the text. Tokenizers whose pieces aren't byte
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re
@@ -24,6 +23,8 @@ from .common import as_text, prepare, slices
 
 HUGE = 1 << 16
 OVERLAP = 1 << 10
+#: What counting takes for huge: so many characters make a chunk, and so many two chunks have in common at first.
+CHUNK, COMMON = 1 << 12, 1 << 7
 
 
 def boundaries(encoding) -> dict[int, int]:
@@ -32,6 +33,18 @@ def boundaries(encoding) -> dict[int, int]:
     return {offsets[k][0]: k for k in range(len(words)) if k == 0 or words[k] != words[k - 1]}
 
 
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Bytes -> id of a byte-level vocabulary whose merges are in the order of their ids; None of any other."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    vocabulary, merges = model.get("vocab", {}), [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    made = [vocabulary.get("".join(m), -1) for m in merges]
+    singles = [vocabulary.get(c, -1) for c in byte_of]
+    if model.get("ignore_merges") or model.get("dropout") or not made or min(made) <= max(singles) or min(singles) < 0 or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return None
+    return {bytes(map(byte_of.__getitem__, w)): k for w, k in vocabulary.items() if all(c in byte_of for c in w)}
+
+
 class Tokens:
     """ids(text) of one tokenizer file: .json by tokenizers, .model by sentencepiece."""
 
@@ -57,17 +70,16 @@ class Tokens:
         self.byte_level = self.byte_level and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in said["added_tokens"])
         #: A cut inside an added token, or in a run of white space, changes what stands just before it.
         self.margin = max([2, *map(len, added)]) + 2
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if self.byte_level and os.path.exists(ranks):
+        ranks = byte_ranks(said["model"]) if self.byte_level else None
+        if ranks:
             self.fast = self.same_ranks(ranks, {x["content"]: x["id"] for x in said["added_tokens"]})
 
-    def same_ranks(self, path: str, added: dict[str, int]):
+    def same_ranks(self, ranks: dict[bytes, int], added: dict[str, int]):
         """The same vocabulary in a faster encoder, for texts on whose characters both patterns surely agree."""
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {w: k for w, k in ranks.items() if k not in added.values()}
         plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         odd = re.compile("[^\x00-˿]")
         return lambda t: None if odd.search(t) else plain.encode(t, allowed_special="all")
@@ -117,11 +129,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, text: str = "text", huge: int = HUGE, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, text: str = "text", huge: int = CHUNK, overlap: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row.
 
     tokenizer: a file's name under public_tokenizers, or a path that every executor has. Null texts count as
-    empty (0 tokens); repeated rows stay; other columns are ignored.
+    empty (0 tokens); repeated rows stay; other columns are ignored. Texts of more than `huge` characters are encoded
+    in chunks that have `overlap` characters in common at first.
     """
     prepare(docs.sparkSession)
 

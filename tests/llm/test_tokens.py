@@ -7,7 +7,7 @@ import pytest
 from llm.helpers import ODD, documents, prose
 from tokenizers import Tokenizer
 
-from loomshed.llm.tokens import Tokens, count_tokens, query
+from loomshed.llm.tokens import Tokens, byte_ranks, count_tokens, query
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -58,3 +58,21 @@ def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r.doc_id: r.n_tokens for r in query(spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id: len(ids(r.text)) for r in docs}
+
+
+def test_splicing_is_what_counts_on_real_tables(spark):
+    """A good part of the texts is long enough for it, and their counts are the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("n_chars > 4096")
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) >= 1000
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
+    assert got == {r.doc_id: len(ids(r.text)) for r in rows}
+
+
+def test_ranks_come_from_the_vocabulary_alone():
+    import json
+
+    model = json.loads(LIBRARY.to_str())["model"]
+    assert byte_ranks(model)[b" the"] == model["vocab"]["Ġthe"]
+    a, b = model["merges"][:2]
+    assert byte_ranks(model | {"merges": [b, a]}) is None and byte_ranks(model | {"merges": []}) is None and byte_ranks({"vocab": {"a": 0}}) is None
