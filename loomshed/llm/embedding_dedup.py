@@ -3,7 +3,8 @@
 The filters are a random product code: the vector is cut into blocks, each block has a codebook of random unit
 vectors, and a filter is a choice of one code word per block. A filter's score is the sum of its blocks' inner
 products, so the list of all filters above a threshold is decoded from two sorted halves without visiting the
-others. Vectors that share a filter (and label) are compared in double precision, block by block; a pair counts in the
+others. There are several independent codes, as one alone loses a link in some thousands. Equal vectors are one, with a count.
+Vectors that share a filter (and label) are compared in double precision, block by block; a pair counts in the
 first filter that it shares, so each link counts once though it may meet often.
 """
 
@@ -28,17 +29,18 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class Caps:
-    """words: code words per block (filters: words ** 4); mean: filters that a vector exceeds on average; least: a vector
-    with fewer lowers its own threshold until it has so many."""
+    """words: code words per block (filters: words ** 4); mean: filters of a code that a vector exceeds on average; least: a vector
+    with fewer lowers its own threshold until it has so many; codes: how many independent codes there are."""
 
     words: int = 32
-    mean: float = 32
-    least: int = 24
+    mean: float = 24
+    least: int = 20
     seed: int = 11
+    codes: int = 2
 
-    def codebooks(self, dim: int) -> np.ndarray:
+    def codebooks(self, dim: int, code: int = 0) -> np.ndarray:
         """4 x words x block size; blocks are padded with zeros."""
-        rng = np.random.default_rng([self.seed, dim, self.words])
+        rng = np.random.default_rng([self.seed + code, dim, self.words])
         size = -(-dim // 4)
         books = rng.standard_normal((4, self.words, size))
         books /= np.linalg.norm(books, axis=2, keepdims=True)
@@ -47,10 +49,14 @@ class Caps:
     def threshold(self, dim: int) -> float:
         return NormalDist().inv_cdf(1 - min(0.5, self.mean / self.words**4)) / sqrt(-(-dim // 4))
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit row of x the ids of all filters whose score exceeds its threshold, sorted."""
+    def lists(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each unit row of x the ids of its filters of all codes, sorted."""
+        return [np.concatenate([y + k * self.words**4 for k, y in enumerate(of_row)]) for of_row in zip(*(self.decode(x, k) for k in range(self.codes)), strict=True)]
+
+    def decode(self, x: np.ndarray, code: int = 0) -> list[np.ndarray]:
+        """For each unit row of x the ids of all filters of a code whose score exceeds its threshold, sorted."""
         n, dim = x.shape
-        books, w = self.codebooks(dim), self.words
+        books, w = self.codebooks(dim, code), self.words
         size = books.shape[2]
         padded = np.zeros((n, 4 * size))
         padded[:, :dim] = x
@@ -80,10 +86,12 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; by their largest component first, as squares may leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bucket_links(caps: Caps, least: float, f: int, rows: np.ndarray, part: np.ndarray, x: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(least: float, f: int, rows: np.ndarray, part: np.ndarray, x: np.ndarray, lists: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the rows of parts `low` and `high` of filter f's bucket that share no filter before f."""
     i, j = np.flatnonzero(part == low), np.flatnonzero(part == high)
     z = unit(x)
@@ -93,14 +101,11 @@ def bucket_links(caps: Caps, least: float, f: int, rows: np.ndarray, part: np.nd
     if not a.size:
         return a, b
     used = np.unique(np.concatenate([i[a], j[b]]))
-    lists = caps.decode(z[used])
-    before = [y[y < f] for y in lists]
+    before = [lists[k][lists[k] < f] for k in used]
     names, at = np.unique(np.concatenate(before), return_inverse=True)
     has = np.zeros((len(x), max(1, len(names))), np.float32)
     has[np.repeat(used, [len(y) for y in before]), at] = 1
-    ok = np.zeros(a.size, bool)
-    shared = has[i] @ has[j].T
-    ok[:] = shared[a, b] == 0
+    ok = (has[i] @ has[j].T)[a, b] == 0
     return i[a[ok]], j[b[ok]]
 
 
@@ -111,31 +116,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = No
     `least`. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Repeated
     rows are vectors of their own. component_id is the smallest key of a component (null if it has none).
     Without caps, the code's size follows the number of vectors: chance meetings stay below one per vector and filter.
-    Extra columns are ignored.
+    Vectors of doubles stay doubles. Extra columns are ignored.
     """
     work = work or Scratch(vectors.sparkSession, "vectors")
     before = len(work.tables)
-    all_rows = work.save(vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").cast("array<float>").alias("x")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    everything = work.save(vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast(kind).alias("x")).withColumn("row", F.monotonically_increasing_id()), "everything")
     sound = F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
-    usable = all_rows.where(sound).withColumn("dim", F.size("x"))
+    # equal vectors of a label are one: told by 128 bits of hash
+    same = ["label", "dim", "h1", "h2"]
+    all_rows = work.save(everything.select("row", "key", F.when(sound, F.col("label")).alias("label"), F.size("x").alias("dim"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2")), "rows")
+    classes = work.save(all_rows.where("label is not null").groupBy(*same).agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least")), "classes")
     if caps is None:
-        n, words = usable.count(), 16
-        while words**4 < 16 * n and words < 256:
+        n, words = classes.count(), 16
+        while words**4 < 16 * n:
             words *= 2
         caps = Caps(words=words)
+    few = max(1, min(256, (1 << 24) // caps.words**2))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims):
                 own = batch.filter(pa.array(dims == d))
-                for at in range(0, own.num_rows, 256):
-                    part = own.slice(at, 256)
-                    lists = caps.decode(unit(matrix(part.column("x"))))
-                    n = [len(y) for y in lists]
-                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(np.repeat(np.arange(len(n)), n))), part.column("label").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.full(sum(n), d, np.int32)), pa.array(np.concatenate(lists))], names=["row", "label", "dim", "filter"])
+                for at in range(0, own.num_rows, few):
+                    part = own.slice(at, few)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(caps.lists(unit(matrix(part.column("x")))), pa.list_(pa.int64()))], names=[*part.schema.names, "filters"])
 
-    filters = work.save(usable.select("row", "label", "dim", "x").mapInArrow(listed, "row bigint, label string, dim int, filter bigint"), "filters")
+    usable = classes.select("row", "label", "dim", "copies").join(everything.select("row", "x"), "row")
+    usable = work.save(usable.mapInArrow(listed, f"row bigint, label string, dim int, copies bigint, x {kind}, filters array<bigint>"), "listed")
+    filters = usable.select("row", "label", "dim", F.explode("filters").alias("filter"))
     shared = filters.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
     # a bucket is cut into parts of about BLOCK rows; each pair of parts is one unit of work, in a shard with others
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -143,32 +153,38 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = No
     units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("row", "label", "dim", "filter", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     units = work.save(units, "units")
     shards = max(1, units.count() // 8192)
-    placed = units.withColumn("shard", F.pmod(F.xxhash64("label", "dim", "filter", "low", "high"), F.lit(shards))).join(all_rows.select("row", "x"), "row")
+    placed = units.withColumn("shard", F.pmod(F.xxhash64("label", "dim", "filter", "low", "high"), F.lit(shards))).join(usable.select("row", "copies", "x", "filters"), "row")
 
     def compare(rows_of: pa.Table) -> pa.Table:
         frame = pd.DataFrame({c: rows_of.column(c).to_pandas() for c in ("row", "label", "dim", "filter", "part", "low", "high")})
-        x, a_out, b_out = rows_of.column("x").combine_chunks(), [], []
+        copies, x, lists = rows_of.column("copies").to_numpy(), rows_of.column("x").combine_chunks(), rows_of.column("filters").combine_chunks()
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for (_, _, f, low, high), own in frame.groupby(["label", "dim", "filter", "low", "high"], sort=False).indices.items():
             if len(own) > 1:
-                rows = frame["row"].to_numpy()[own]
-                i, j = bucket_links(caps, least, f, rows, frame["part"].to_numpy()[own], matrix(x.take(pa.array(own))), low, high)
-                a_out.append(rows[i])
-                b_out.append(rows[j])
-        a, b = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a_out, b_out))
-        return summary(a, b)
+                at = pa.array(own)
+                of_rows = lists.take(at)
+                cuts = of_rows.offsets.to_numpy()
+                i, j = bucket_links(least, f, frame["row"].to_numpy()[own], frame["part"].to_numpy()[own], matrix(x.take(at)), np.split(of_rows.values.to_numpy()[cuts[0] : cuts[-1]], cuts[1:-1] - cuts[0]), low, high)
+                a_out.append(own[i])
+                b_out.append(own[j])
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        rows = frame["row"].to_numpy()
+        return summary(rows[a], rows[b], copies[a], copies[b])
 
     found = work.save(placed.groupBy("shard").applyInArrow(compare, "row bigint, n bigint, root bigint"), "found")
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("row").agg(F.sum("n").alias("others"))
     groups = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")), work)
-    work.keep(before, "rows", "found", *(t for t in work.tables if t.startswith("components_")))
-    keyed = all_rows.select("row", "key").join(counts, "row", "left").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    smallest = keyed.where("n_links is not null").groupBy("component").agg(F.min("key").alias("component_id"))
-    result = keyed.join(smallest, "component", "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))
+    of_class = classes.join(counts, "row", "left").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    smallest = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = work.save(of_class.join(smallest, "component").select(*same, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links"), "component_id"), "of_class")
+    work.keep(before, "rows", "of_class")
+    # a class may have many copies: its row is sent if there are few classes, else the join is split
+    result = all_rows.join(of_class, same, "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.coalesce("n_links", F.lit(0)) == 0, F.col("key")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))
     return result.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def summary(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Links as one line per row: how many, and the smallest row that these links lead to."""
+def summary(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray | None = None, copies_b: np.ndarray | None = None) -> pa.Table:
+    """Links as one line per row: to how many vectors, and the smallest row that these links lead to."""
     rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = at[: a.size], at[a.size :]
     root = np.arange(rows.size)
@@ -180,7 +196,8 @@ def summary(a: np.ndarray, b: np.ndarray) -> pa.Table:
         if (new == root).all():
             break
         root = new
-    return pa.table({"row": rows.astype(np.int64), "n": np.bincount(at, minlength=rows.size).astype(np.int64), "root": rows[root].astype(np.int64)})
+    weights = None if copies_a is None else np.concatenate([copies_b, copies_a]).astype(float)
+    return pa.table({"row": rows.astype(np.int64), "n": np.bincount(at, weights, minlength=rows.size).astype(np.int64), "root": rows[root].astype(np.int64)})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from llm.helpers import components
+from pyspark.sql import functions as F
 
-from loomshed.llm.embedding_dedup import Caps, near_vectors, query, summary
+from loomshed.llm.embedding_dedup import Caps, near_vectors, query, summary, unit
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -69,14 +71,48 @@ def test_summary():
     assert t == {"row": [1, 2, 3, 8, 9], "n": [1, 2, 1, 1, 1], "root": [1, 1, 1, 8, 8]}
 
 
-def test_recall_on_a_large_table(spark):
-    """All links of the large table's group of near copies, against brute force by label."""
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("label < 3").toPandas()
-    got = near_vectors(spark.createDataFrame(e)).toPandas().set_index("vec_id").n_links
-    for _, g in e.groupby("label"):
-        x = np.stack(g.embedding.to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        assert ((x @ x.T >= 0.98).sum(1) - 1 == got.loc[g.vec_id].to_numpy()).all()
+def pairs_at(seed: int, n: int, cosine: float, dim: int = 64):
+    rng = np.random.default_rng(seed)
+    a, b = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    b = unit(b - (a * b).sum(1)[:, None] * a)
+    return a, cosine * a + (1 - cosine * cosine) ** 0.5 * b
+
+
+@pytest.mark.parametrize("words", [32, 64, 128])
+def test_recall_by_size_of_the_code(words):
+    """Pairs at the limit of 0.98 share a filter, whatever the code's size: none of 4,000 is lost."""
+    a, b = pairs_at(words, 4000, 0.98)
+    caps = Caps(words=words)
+    assert all(np.intersect1d(x, y, assume_unique=True).size for x, y in zip(caps.lists(a), caps.lists(b), strict=True))
+
+
+def test_links_of_a_large_group(spark):
+    """A thousand near copies around one vector and 3,000 others, against brute force."""
+    rng = np.random.default_rng(6)
+    hot = rng.standard_normal(64)
+    x = np.concatenate([hot + rng.standard_normal((1000, 64)) * rng.uniform(0.02, 0.25, (1000, 1)), rng.standard_normal((3000, 64))]).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], VECTORS)).collect()}
+    z = unit(x.astype(float))
+    assert [got[k] for k in range(len(x))] == ((z @ z.T >= 0.98).sum(1) - 1).tolist() and max(got.values()) > 300
+
+
+def test_doubles_stay_doubles(spark):
+    """Components beyond the range and the precision of floats."""
+    base = [1.0] * 8
+    rows = [(0, [v * 1e300 for v in base], 1), (1, [v * 1e-300 for v in base], 1), (2, base, 1), (3, [-1.0] + base[1:], 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 0, True), (2, 0, False), (2, 0, False), (0, 3, True)]
+
+
+def test_equal_vectors_count_each(spark):
+    rows = [(k, [1.0, 0.0, 0.0, 0.1 * (k % 2)], k % 3 and 1) for k in range(60)]
+    same(spark, rows, caps=Caps(words=8, mean=60, least=60))
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame(vectors(5, 60), VECTORS).withColumns({c: F.lit(c) for c in ("row", "x", "dim", "key", "copies", "h1", "filter", "component", "a.b")})
+    got = near_vectors(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == brute(vectors(5, 60))
 
 
 def test_query(spark):
