@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(large: DataFrame, other: DataFrame, on: str, salts: int) -> DataFrame:
-    """An inner join that deals each key's rows of `large` to `salts` tasks, and copies `other` to each of them."""
-    hot = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)))
-    copied = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return hot.join(copied, [on, "__salt"]).drop("__salt")
+def salted_join(large: DataFrame, other: DataFrame, on: str, salts: int, share: float = 0.01) -> DataFrame:
+    """An inner join that deals the rows of `large` to `salts` tasks where their key holds `share` of all rows or more, and copies what `other` has of these keys to each.
+
+    There are at most 1 / share such keys. A row's salt doesn't depend on what is in it, so equal rows are dealt out too.
+    """
+    hot = F.broadcast(heavy_hitters(large, on, share).select(on, F.lit(salts).alias("__salts")))
+    dealt = large.join(hot, on, "left").withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    copied = other.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copied, [on, "__salt"]).drop("__salt")
 
 
 def distinct_per_group(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -18,6 +18,15 @@ def over_groups(df: DataFrame, aggregate: Column, partition: list[str], order: s
     return ranked.withColumn(name, aggregate.over(frame)).drop("__group")
 
 
+def counted_over_groups(df: DataFrame, partition: str, order: str, before: int, after: int, name: str, by_value: bool = False) -> DataFrame:
+    """count(*) over GROUPS, or with by_value over a RANGE of the values: counts per distinct value are what the window runs over, however many rows a partition has."""
+    counts = df.groupBy(partition, order).agg(F.count("*").alias("__n"))
+    at = order if by_value else "__group"
+    ranked = counts if by_value else counts.withColumn("__group", F.dense_rank().over(Window.partitionBy(partition).orderBy(order)))
+    found = ranked.select(F.col(partition).alias("__p"), F.col(order).alias("__o"), F.sum("__n").over(Window.partitionBy(partition).orderBy(at).rangeBetween(-before, after)).alias(name))
+    return df.join(found, F.col(partition).eqNullSafe(F.col("__p")) & F.col(order).eqNullSafe(F.col("__o"))).drop("__p", "__o")
+
+
 def sum_of_others(value: str, window) -> Column:
     """Sum over the frame without the current row; null where the frame holds no other row."""
     rest = F.count("*").over(window) - 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.subqueries import not_in
 from ..sources.tables import table
 from . import query
 
@@ -51,9 +52,7 @@ def subquery_correlated(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def subquery_not_in(spark, d):
-    table(spark, d, "documents").createOrReplaceTempView("not_in_documents")
-    table(spark, d, "labels").createOrReplaceTempView("not_in_labels")
-    return spark.sql("SELECT doc_id FROM not_in_documents WHERE doc_id NOT IN (SELECT doc_id FROM not_in_labels)")
+    return not_in(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id").select("doc_id")
 
 
 @query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) WHERE c_mktsegment = 'MACHINERY'")
@@ -70,8 +69,7 @@ def recursive_cte(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type")
 def pipe_syntax(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("pipe_events")
-    return spark.sql("FROM pipe_events |> WHERE value > 10 |> AGGREGATE count(*) AS n GROUP BY event_type")
+    return spark.sql("FROM {events} |> WHERE value > 10 |> AGGREGATE count(*) AS n GROUP BY event_type", events=table(spark, d, "events"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -97,12 +95,18 @@ def sample_rows(spark, d):
     return table(spark, d, "lineitem").sample(fraction=0.1, seed=7)
 
 
+@query("SELECT o_orderkey, ifnull(nullif(o_orderstatus, 'O'), 'open') AS status, NULL || 'a' IS NULL AS nothing, 'b' || o_orderstatus AS both FROM orders")
+def filter_ifnull_concat(spark, d):
+    """concat with a null is null, as || is in either dialect."""
+    status = F.ifnull(F.nullif("o_orderstatus", F.lit("O")), F.lit("open"))
+    return table(spark, d, "orders").select("o_orderkey", status.alias("status"), F.concat(F.lit(None).cast("string"), F.lit("a")).isNull().alias("nothing"), F.concat(F.lit("b"), "o_orderstatus").alias("both"))
+
+
 @query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN doc_id > 50 THEN doc_id END FROM labels)")
 def subquery_not_in_null(spark, d):
     """A null in the list leaves no row: what is unknown isn't false."""
-    table(spark, d, "documents").createOrReplaceTempView("not_in_documents")
-    table(spark, d, "labels").createOrReplaceTempView("not_in_labels")
-    return spark.sql("SELECT count(*) AS n FROM not_in_documents WHERE doc_id NOT IN (SELECT CASE WHEN doc_id > 50 THEN doc_id END FROM not_in_labels)")
+    some = table(spark, d, "labels").select(F.when(F.col("doc_id") > 50, F.col("doc_id")).alias("doc_id"))
+    return not_in(table(spark, d, "documents"), "doc_id", some, "doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'P') AND o_orderstatus <> 'P'")

@@ -76,9 +76,7 @@ def join_using(spark, d):
 
 @query("SELECT doc_id, toxic FROM (SELECT doc_id, source FROM documents) NATURAL JOIN labels")
 def join_natural(spark, d):
-    table(spark, d, "documents").select("doc_id", "source").createOrReplaceTempView("natural_documents")
-    table(spark, d, "labels").createOrReplaceTempView("natural_labels")
-    return spark.sql("SELECT doc_id, toxic FROM natural_documents NATURAL JOIN natural_labels")
+    return spark.sql("SELECT doc_id, toxic FROM {docs} NATURAL JOIN {labels}", docs=table(spark, d, "documents").select("doc_id", "source"), labels=table(spark, d, "labels"))
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -89,12 +87,12 @@ def join_self(spark, d):
 
 
 @query("""
-    WITH bands AS (SELECT p_partkey AS band, p_retailprice AS low, p_retailprice + 2 AS high FROM part WHERE p_size = 7)
+    WITH bands AS (SELECT p_partkey AS band, p_retailprice AS low, p_retailprice + 2 AS high FROM part)
     SELECT band, s_suppkey FROM supplier JOIN bands ON abs(s_acctbal) / 5 BETWEEN low AND high
 """)
 def join_range_band(spark, d):
     """Points in bands, through buckets of equal width in place of a nested loop."""
-    bands = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 2).alias("high"))
+    bands = table(spark, d, "part").select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 2).alias("high"))
     points = table(spark, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 5).alias("at"))
     return range_join(points, bands, "at", "low", "high", 4.0).select("band", "s_suppkey")
 

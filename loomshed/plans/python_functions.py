@@ -34,43 +34,44 @@ def udf_pandas(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.round(scaled("l_extendedprice"), 3).alias("scaled"))
 
 
-@query("SELECT n_name, round(max(c_acctbal) - min(c_acctbal), 2) AS spread FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY o_custkey")
 def udaf_pandas(spark, d):
+    """A group is one series, so this is for keys of many groups; max and min themselves are built in."""
+
     @F.pandas_udf("double")
     def spread(s: pd.Series) -> float:
         return float(s.max() - s.min())
 
-    c = table(spark, d, "customer").select("c_nationkey", "c_acctbal")
-    return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(spread("c_acctbal"), 2).alias("spread"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(spread("o_totalprice"), 2).alias("spread"))
 
 
-@query("SELECT p_partkey, p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand) > 0 AS above FROM part")
+@query("SELECT o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey) > 0.005 AS above FROM orders")
 def grouped_map_pandas(spark, d):
     def above(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p_partkey": g.p_partkey, "above": g.p_retailprice - g.p_retailprice.mean() > 0})
+        return pd.DataFrame({"o_orderkey": g.o_orderkey, "above": g.o_totalprice - g.o_totalprice.mean() > 0.005})
 
-    return table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice").groupBy("p_brand").applyInPandas(above, "p_partkey bigint, above boolean")
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").groupBy("o_custkey").applyInPandas(above, "o_orderkey bigint, above boolean")
 
 
-@query("SELECT s_nationkey, count(*) AS n, round(max(s_acctbal), 2) AS top FROM supplier GROUP BY s_nationkey")
+@query("SELECT o_custkey, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY o_custkey")
 def grouped_map_arrow(spark, d):
     def top(t: pa.Table) -> pa.Table:
-        return pa.table({"s_nationkey": t.column("s_nationkey").slice(0, 1), "n": [t.num_rows], "top": [pc.max(t.column("s_acctbal")).as_py()]})
+        return pa.table({"o_custkey": t.column("o_custkey").slice(0, 1), "n": [t.num_rows], "top": [pc.max(t.column("o_totalprice")).as_py()]})
 
-    g = table(spark, d, "supplier").select("s_nationkey", "s_acctbal").groupBy("s_nationkey").applyInArrow(top, "s_nationkey int, n bigint, top double")
+    g = table(spark, d, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInArrow(top, "o_custkey bigint, n bigint, top double")
     return g.withColumn("top", F.round("top", 2))
 
 
 @query("""
-    SELECT coalesce(c_nationkey, s_nationkey) AS nation, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers
-    FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey
+    SELECT coalesce(o_custkey, user_id) AS key, coalesce(o, 0) AS orders, coalesce(e, 0) AS events
+    FROM (SELECT o_custkey, count(*) AS o FROM orders GROUP BY 1) FULL JOIN (SELECT user_id, count(*) AS e FROM events GROUP BY 1) ON o_custkey = user_id
 """)
 def cogrouped_map_pandas(spark, d):
-    def both(key, c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"nation": [key[0]], "customers": [len(c)], "suppliers": [len(s)]})
+    def both(key, o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "orders": [len(o)], "events": [len(e)]})
 
-    c, s = table(spark, d, "customer").select("c_nationkey"), table(spark, d, "supplier").select("s_nationkey")
-    return c.groupBy("c_nationkey").cogroup(s.groupBy("s_nationkey")).applyInPandas(both, "nation int, customers bigint, suppliers bigint")
+    o, e = table(spark, d, "orders").select("o_custkey"), table(spark, d, "events").select("user_id")
+    return o.groupBy("o_custkey").cogroup(e.groupBy("user_id")).applyInPandas(both, "key bigint, orders bigint, events bigint")
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, ' ', '')) AS blanks FROM documents")
@@ -100,8 +101,7 @@ def udtf_words(spark, d):
                 yield (w,)
 
     spark.udtf.register("loomshed_words", Words)
-    table(spark, d, "nation").createOrReplaceTempView("udtf_nation")
-    return spark.sql("SELECT n_nationkey, word FROM udtf_nation, LATERAL loomshed_words(n_name)")
+    return spark.sql("SELECT n_nationkey, word FROM {nation}, LATERAL loomshed_words(n_name)", nation=table(spark, d, "nation"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
@@ -117,7 +117,7 @@ def python_source(spark, d):
     return spark.read.format("counter").options(rows=40, step=3, partitions=4).load()
 
 
-@query("SELECT p_partkey, round(max(p_retailprice) OVER (PARTITION BY p_brand) - p_retailprice, 2) AS below FROM part")
+@query("SELECT o_orderkey, round(max(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS below FROM orders")
 def udaf_window(spark, d):
     """An aggregate in pandas over a window."""
 
@@ -125,7 +125,7 @@ def udaf_window(spark, d):
     def most(s: pd.Series) -> float:
         return float(s.max())
 
-    return table(spark, d, "part").select("p_partkey", F.round(most("p_retailprice").over(Window.partitionBy("p_brand")) - F.col("p_retailprice"), 2).alias("below"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(most("o_totalprice").over(Window.partitionBy("o_custkey")) - F.col("o_totalprice"), 2).alias("below"))
 
 
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")

@@ -89,14 +89,14 @@ def scalar_arrays(spark, d):
 
 
 @query("""
-    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
-    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cos, round(list_inner_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS dot, round(list_distance(embedding::DOUBLE[], e::DOUBLE[]), 6) AS dist FROM embeddings, q
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0)
+    SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cos, round(list_inner_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS dot, round(list_distance(embedding::DOUBLE[], e::DOUBLE[]), 6) AS dist FROM embeddings, q
 """)
 def scalar_vectors(spark, d):
-    """All vectors against one given vector."""
+    """Each fiftieth vector as a query against all of them."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select("embedding").scalar()
-    return e.withColumn("q", q).select("vec_id", F.round(cosine("embedding", "q"), 6).alias("cos"), F.round(dot("embedding", "q"), 6).alias("dot"), F.round(distance("embedding", "q"), 6).alias("dist"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.select("vec_id", "embedding").crossJoin(q).select("query_id", "vec_id", F.round(cosine("embedding", "q"), 6).alias("cos"), F.round(dot("embedding", "q"), 6).alias("dot"), F.round(distance("embedding", "q"), 6).alias("dist"))
 
 
 @query("""
@@ -107,6 +107,23 @@ def scalar_array_sets(spark, d):
     return table(spark, d, "nation").select(F.explode(a).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
+@query("""
+    SELECT doc_id, len(list_distinct(list_concat(list_distinct(a), b))) AS n_union, len(list_intersect(a, b)) AS n_both, len(list_filter(a, lambda w: len(w) > 60)) = 0 AS short
+    FROM (SELECT doc_id, string_split(text, ' ')[1:60] AS a, string_split(text, ' ')[61:120] AS b FROM documents)
+""")
+def scalar_word_sets(spark, d):
+    """Set functions on the first words of real texts."""
+    words = F.split("text", " ")
+    t = table(spark, d, "documents").select("doc_id", F.slice(words, 1, 60).alias("a"), F.slice(words, 61, 60).alias("b"))
+    return t.select("doc_id", F.size(F.array_union("a", "b")).cast("bigint").alias("n_union"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_both"), F.forall("a", lambda w: F.length(w) <= 60).alias("short"))
+
+
+@query("SELECT o_orderkey, (o_orderdate + INTERVAL 3 MONTH)::TIMESTAMP AS later, list_sort(map_keys(MAP {'s' || o_orderstatus: 1, 'p': 2})) AS keys FROM orders")
+def scalar_months_and_keys(spark, d):
+    later = F.add_months(F.col("o_orderdate").cast("date"), 3).cast("timestamp_ntz")
+    return table(spark, d, "orders").select("o_orderkey", later.alias("later"), F.sort_array(F.map_keys(F.create_map(F.concat(F.lit("s"), "o_orderstatus"), F.lit(1), F.lit("p"), F.lit(2)))).alias("keys"))
+
+
 @query("SELECT n_name, pos, letter FROM (SELECT n_name, unnest(range(0, len(n_name))) AS pos, unnest(string_split(n_name, '')) AS letter FROM nation)")
 def scalar_posexplode(spark, d):
     return table(spark, d, "nation").select("n_name", F.posexplode(F.split("n_name", "")).alias("pos", "letter")).withColumn("pos", F.col("pos").cast("bigint"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sessions import sessions
 from ..sources.tables import table
-from ..streaming.replay import collected, event_stream
+from ..streaming.replay import collected, event_stream, replayed
 from . import query
 
 
@@ -45,12 +45,12 @@ def time_session_by_gap(spark, d):
 
 
 @query("""
-    SELECT hour, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-05', INTERVAL 1 HOUR)) AS hour)
+    SELECT hour, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts))::TIMESTAMP FROM events), (SELECT max(ts) FROM events), INTERVAL 1 HOUR)) AS hour)
     LEFT JOIN (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS h, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) ON h = hour
 """)
 def time_gap_fill(spark, d):
-    """Every hour of a range, those without an error too."""
-    hours = spark.range(1).select(F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-01-05', INTERVAL 1 HOUR)")).alias("hour"))
+    """Every hour from the first event's to the last, those without an error too."""
+    hours = table(spark, d, "events").agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b")).select(F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour"))
     n = table(spark, d, "events").where("event_type = 'error'").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
     return hours.join(n, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -110,9 +110,7 @@ def stream_custom_state(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_foreach_batch(spark, d):
     """Batches written one by one by a function, each exactly once."""
-    from ..streaming.replay import batch_sink
-
-    return batch_sink(event_stream(spark, d).select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return collected(event_stream(spark, d).select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -142,3 +140,25 @@ def stream_enrich(spark, d):
     """Rows of a stream beside a fixed table, without state."""
     e = event_stream(spark, d).where("event_type = 'error'")
     return collected(e.join(table(spark, d, "nation"), F.col("user_id") % 25 == F.col("n_nationkey")).select("event_id", "n_name"), "append")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_state_processor(spark, d):
+    """The same totals by a state processor, whose state lies in RocksDB."""
+    from ..streaming.totals import processed_totals
+
+    last = collected(processed_totals(event_stream(spark, d)), "update")
+    return last.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, count(*) AS n FROM events WHERE event_type <> 'error' AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+def stream_late(spark, d):
+    """Errors come only after all else, too late for their windows: the watermark drops them."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    end = e.agg(F.max("ts")).scalar()
+    on_time = e.where((F.col("event_type") != "error") & (F.col("ts") < end - F.expr("INTERVAL 2 HOURS")))
+    late = e.where((F.col("event_type") == "error") & (F.col("ts") < end - F.expr("INTERVAL 8 HOURS")))
+    # the last event of all moves the watermark on before the late ones come
+    parts = [on_time, e.where(F.col("ts") == end), e.where(F.col("ts") == end), late, e.where(F.col("ts") == end)]
+    w = replayed(spark, [p.select("event_id", "ts") for p in parts]).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return collected(w, "append").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import over_groups, qualify, sum_of_others, top_per_group
+from ..operators.windows import counted_over_groups, over_groups, qualify, sum_of_others, top_per_group
 from ..sources.tables import table
 from . import query
 
@@ -45,19 +45,31 @@ def window_rows(spark, d):
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM part")
 def window_range(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.count("*").over(Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-3, 3)).alias("near"))
+    return counted_over_groups(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_size", 3, 3, "near", by_value=True).select("p_partkey", "near")
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY cents RANGE BETWEEN 2000000 PRECEDING AND 2000000 FOLLOWING) AS near FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders)")
+def window_range_frame(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return o.select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey").orderBy("cents").rangeBetween(-2000000, 2000000)).alias("near"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
 def window_range_interval(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("range_events")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM range_events")
+    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM {events}", events=table(spark, d, "events"))
 
 
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM orders")
 def window_groups(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    return over_groups(o, F.count("*"), ["o_orderpriority"], "o_orderdate", 1, 1, "n").select("o_orderkey", "n")
+    return counted_over_groups(o, "o_orderpriority", "o_orderdate", 1, 1, "n").select("o_orderkey", "n")
+
+
+@query("SELECT event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 4) AS most FROM events")
+def window_groups_any(spark, d):
+    """Any aggregate over GROUPS, by dense ranks."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value", F.date_trunc("day", "ts").alias("day"))
+    return over_groups(e, F.max("value"), ["user_id"], "day", 1, 0, "most").select("event_id", F.round("most", 4).alias("most"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW), 3) AS others FROM events")
@@ -74,8 +86,16 @@ def window_qualify_top(spark, d):
 
 @query("SELECT doc_id, n_chars FROM documents QUALIFY n_chars > 2 * avg(n_chars) OVER (PARTITION BY lang)")
 def window_qualify_mean(spark, d):
+    """A partition's mean is an aggregate of a few rows that is joined: no task holds a whole language."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
-    return qualify(docs, F.col("n_chars") > 2 * F.avg("n_chars").over(Window.partitionBy("lang"))).select("doc_id", "n_chars")
+    means = docs.groupBy(F.col("lang").alias("of")).agg(F.avg("n_chars").alias("mean"))
+    return docs.join(means, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n_chars") > 2 * F.col("mean")).select("doc_id", "n_chars")
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY o_totalprice > 1.5 * avg(o_totalprice) OVER (PARTITION BY o_custkey)")
+def window_qualify_any(spark, d):
+    """Any condition over windows, on a key of many groups."""
+    return qualify(table(spark, d, "orders"), F.col("o_totalprice") > 1.5 * F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))).select("o_orderkey")
 
 
 @query("SELECT event_id, last_value(purchase IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN event_id END AS purchase FROM events)")

@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import scratch, table
 
 
-def event_stream(spark: SparkSession, folder: str, batches: int = 4) -> DataFrame:
-    """The events in order of time, one file per batch. Watermarks need a time zone: ts becomes a timestamp in the session's."""
-    path = scratch(spark, "stream")
+def event_stream(spark: SparkSession, folder: str, batches: int = 4, files: int = 2) -> DataFrame:
+    """The events in order of time, `files` files per batch. Watermarks need a time zone: ts becomes a timestamp in the session's."""
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    # files are taken by age, so each slice is written after the one before
-    bounds = events.stat.approxQuantile("event_id", [k / batches for k in range(1, batches)], 0.0) if batches > 1 else []
+    bounds = events.stat.approxQuantile("event_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [float("-inf"), *bounds, float("inf")]
-    for low, high in zip(edges, edges[1:], strict=False):
-        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return replayed(spark, [events.where((F.col("event_id") > low) & (F.col("event_id") <= high)) for low, high in zip(edges, edges[1:], strict=False)], files)
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows that the stream has put out when all its input is used."""
-    name = f"loomshed_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+def replayed(spark: SparkSession, parts: list[DataFrame], files: int = 1) -> DataFrame:
+    """The parts as a stream of a batch each."""
+    path = scratch(spark, "stream")
+    for part in parts:  # files are taken by age, so each part is written after the one before
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
 
+def collected(stream: DataFrame, mode: str, **options: str) -> DataFrame:
+    """The rows that the stream has put out when all its input is used: of complete mode the last batch's, else all.
 
-def batch_sink(stream: DataFrame) -> DataFrame:
-    """Each batch written to a folder of its own number: a batch that is run again overwrites itself."""
+    The executors write each batch to a folder of its own number; a batch that is run again overwrites itself.
+    """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, "batches")
+    whole = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    last = [-1]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[0] = number
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").parquet(path).drop("batch")
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).options(checkpointLocation=scratch(spark, "progress"), **options).trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema(whole).parquet(path)
+    return (rows.where(rows.batch == last[0]) if mode == "complete" else rows).drop("batch")

@@ -6,8 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: State processors need a store that keeps several variables per key.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def running_totals(events: DataFrame) -> DataFrame:
     """user_id, n, total of each user in every batch that has rows of theirs."""
@@ -20,3 +24,26 @@ def running_totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+class Totals(StatefulProcessor):
+    """n and total of each key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("totals", "n bigint, total double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        for b in rows:
+            n, total = n + len(b), total + float(b.value.sum())
+        self.state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def processed_totals(events: DataFrame) -> DataFrame:
+    """running_totals by transformWithStateInPandas; the session's state store becomes RocksDB."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id bigint, n bigint, total double", "update", "none")

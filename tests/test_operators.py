@@ -14,7 +14,8 @@ from loomshed.operators.asof import asof_join
 from loomshed.operators.ranges import range_join
 from loomshed.operators.sessions import sessions
 from loomshed.operators.skew import distinct_per_group, heavy_hitters, salted_join
-from loomshed.operators.windows import distinct_on, over_groups, sum_of_others
+from loomshed.operators.subqueries import not_in
+from loomshed.operators.windows import counted_over_groups, distinct_on, over_groups, sum_of_others
 from loomshed.sources.tables import round_trip
 
 T = datetime(2024, 1, 1)
@@ -67,6 +68,8 @@ def test_skew(spark):
     big = spark.createDataFrame([("hot", k) for k in range(200)] + [("cold", 1), (None, 2)], "k string, v int")
     other = spark.createDataFrame([("hot", 1), ("hot", 2), ("none", 3)], "k string, w int")
     assert salted_join(big, other, "k", 8).count() == 400
+    same = spark.createDataFrame([("hot", {"m": 1})] * 200, "k string, v map<string,int>")
+    assert salted_join(same, other, "k", 4).count() == 400
     assert {r.k: r.n for r in distinct_per_group(big, ["k"], "v", "n").collect()} == {"hot": 200, "cold": 1, None: 1}
     assert [r.k for r in heavy_hitters(big, "k", 0.5).collect()] == ["hot"]
 
@@ -89,7 +92,31 @@ def test_missing_connectors_say_what_they_need(spark, tmp_path):
     from loomshed.sources.connectors import MissingConnector, read_avro, read_kafka
 
     for read in (lambda: read_avro(spark, str(tmp_path)), lambda: read_kafka(spark, "localhost:1", "t")):
-        try:
+        with pytest.raises(MissingConnector, match="--packages org.apache.spark"):
             read()
-        except MissingConnector as e:
-            assert "--packages org.apache.spark" in str(e)
+
+
+def test_jdbc_reads_in_parts(spark, tmp_path):
+    """Against the database in Java that Spark brings along."""
+    from loomshed.sources.connectors import read_jdbc
+
+    url, driver = f"jdbc:derby:{tmp_path}/db", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("id AS k", "id * 2 AS v").write.jdbc(f"{url};create=true", "numbers", properties={"driver": driver})
+    got = read_jdbc(spark, url, "numbers", "k", 20, 80, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted((r[0], r[1]) for r in got.collect()) == [(k, 2 * k) for k in range(100)]
+
+
+def test_not_in_follows_the_rules_for_nulls(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    some = lambda *x: spark.createDataFrame([(v,) for v in x], "b int")
+    got = lambda others: sorted(str(r.a) for r in not_in(rows, "a", others, "b").collect())
+    assert got(some(1, 1)) == ["2"] and got(some(1, None)) == [] and got(some()) == ["1", "2", "None"]
+
+
+def test_counts_over_groups_and_ranges(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 9), (None, 1), ("a", None)], "k string, t int")
+    plain = over_groups(df, F.count("*"), ["k"], "t", 1, 0, "n")
+    pairs = lambda d: sorted(map(str, d.select("k", "t", "n").collect()))
+    assert pairs(counted_over_groups(df, "k", "t", 1, 0, "n")) == pairs(plain)
+    ranged = df.withColumn("n", F.count("*").over(Window.partitionBy("k").orderBy("t").rangeBetween(-1, 0)))
+    assert pairs(counted_over_groups(df, "k", "t", 1, 0, "n", by_value=True)) == pairs(ranged)

@@ -43,3 +43,10 @@ def test_plans(spark):
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan("partitioned_read")
     assert "Exchange hashpartitioning" not in plan("bucketed_join")
     assert "BroadcastNestedLoopJoin" not in plan("join_range_band")
+    assert "Window " not in plan("window_qualify_mean") and "LeftAnti" in plan("subquery_not_in") and "LeftAnti, BuildRight, true" not in plan("subquery_not_in")
+
+
+def test_sample_has_its_share_and_comes_again(spark):
+    whole = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    runs = [sorted(map(str, plans.QUERIES["sample_rows"](spark, FOLDER).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and abs(len(runs[0]) - 0.1 * whole) < 5 * (0.09 * whole) ** 0.5
