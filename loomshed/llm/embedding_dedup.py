@@ -25,6 +25,8 @@ from .common import Scratch
 from .components import connected_components
 
 BLOCK = 1024
+#: Buckets of so many rows at most are compared together with others of their size.
+SMALL = 48
 
 
 @dataclass(frozen=True)
@@ -91,10 +93,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bucket_links(least: float, f: int, rows: np.ndarray, part: np.ndarray, x: np.ndarray, lists: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the rows of parts `low` and `high` of filter f's bucket that share no filter before f."""
+def bucket_links(least: float, f: int, rows: np.ndarray, part: np.ndarray, z: np.ndarray, lists: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the unit rows of parts `low` and `high` of filter f's bucket that share no filter before f."""
     i, j = np.flatnonzero(part == low), np.flatnonzero(part == high)
-    z = unit(x)
     near = z[i] @ z[j].T >= least
     near &= rows[i][:, None] < rows[j][None, :] if low == high else True
     a, b = np.nonzero(near)
@@ -103,12 +104,70 @@ def bucket_links(least: float, f: int, rows: np.ndarray, part: np.ndarray, x: np
     used = np.unique(np.concatenate([i[a], j[b]]))
     before = [lists[k][lists[k] < f] for k in used]
     names, at = np.unique(np.concatenate(before), return_inverse=True)
-    has = np.zeros((len(x), max(1, len(names))), np.float32)
+    has = np.zeros((len(z), max(1, len(names))), np.float32)
     has[np.repeat(used, [len(y) for y in before]), at] = 1
     ok = (has[i] @ has[j].T)[a, b] == 0
     return i[a[ok]], j[b[ok]]
 
 
+def first_shared(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest filter that rows a and b of a matrix of sorted lists (filled up with -1) share, pair by pair."""
+    out = np.empty(a.size, np.int64)
+    step = max(1, (1 << 23) // lists.shape[1] ** 2)
+    for k in range(0, a.size, step):
+        x, y = lists[a[k : k + step]], lists[b[k : k + step]]
+        shared = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
+        out[k : k + step] = x[np.arange(len(x)), shared.argmax(axis=1)]
+    return out
+
+
+def shard_links(rows_of: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in rows_of of the links of all its buckets; buckets of one small size are compared together, large ones one by one."""
+    frame = pd.DataFrame({c: rows_of.column(c).to_pandas() for c in ("row", "label", "dim", "filter", "part", "low", "high")})
+    x, lists = rows_of.column("x").combine_chunks(), rows_of.column("filters").combine_chunks()
+    bucket = frame.groupby(["label", "dim", "filter", "low", "high"], sort=False).ngroup().to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    size = np.bincount(bucket)
+    start = np.cumsum(size) - size
+    row, filters, part, low, high, dim = (frame[c].to_numpy() for c in ("row", "filter", "part", "low", "high", "dim"))
+    cuts = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy()
+    lengths = np.diff(cuts)
+    filled = np.full((len(row), max(1, lengths.max(initial=0))), -1, np.int64)
+    filled[np.repeat(np.arange(len(row)), lengths), np.arange(lengths.sum()) - np.repeat(cuts[:-1] - cuts[0], lengths)] = ids[cuts[0] : cuts[-1]]
+    z: dict[int, np.ndarray] = {}
+    place = np.zeros(len(row), np.int64)
+    for d in np.unique(dim):
+        own = np.flatnonzero(dim == d)
+        place[own], z[d] = np.arange(own.size), unit(matrix(x.take(pa.array(own))))
+    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    of_bucket = dim[order[start]] if size.size else dim
+    for d in np.unique(dim):
+        for s in np.unique(size[of_bucket == d]):
+            chosen = np.flatnonzero((size == s) & (of_bucket == d))
+            if s < 2:
+                continue
+            if s > SMALL:
+                for k in chosen:
+                    at = order[start[k] : start[k] + s]
+                    i, j = bucket_links(least, filters[at[0]], row[at], part[at], z[d][place[at]], [ids[cuts[y] : cuts[y + 1]] for y in at], low[at[0]], high[at[0]])
+                    a_out.append(at[i])
+                    b_out.append(at[j])
+                continue
+            for k in range(0, chosen.size, max(1, (1 << 20) // (s * max(s, d)))):
+                at = order[start[chosen[k : k + max(1, (1 << 20) // (s * max(s, d)))]][:, None] + np.arange(s)]
+                v = z[d][place[at]]
+                near = v @ v.transpose(0, 2, 1) >= least
+                near &= (part[at] == low[at])[:, :, None] & (part[at] == high[at])[:, None, :]
+                near &= (row[at][:, :, None] < row[at][:, None, :]) | (low[at] < high[at])[:, :, None]
+                n, i, j = np.nonzero(near)
+                a, b = at[n, i], at[n, j]
+                ok = first_shared(filled, a, b) == filters[a]
+                a_out.append(a[ok])
+                b_out.append(b[ok])
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label", work: Scratch | None = None) -> DataFrame:
     """key, n_links, component_id, kept of every row.
 
@@ -156,19 +215,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, caps: Caps | None = No
     placed = units.withColumn("shard", F.pmod(F.xxhash64("label", "dim", "filter", "low", "high"), F.lit(shards))).join(usable.select("row", "copies", "x", "filters"), "row")
 
     def compare(rows_of: pa.Table) -> pa.Table:
-        frame = pd.DataFrame({c: rows_of.column(c).to_pandas() for c in ("row", "label", "dim", "filter", "part", "low", "high")})
-        copies, x, lists = rows_of.column("copies").to_numpy(), rows_of.column("x").combine_chunks(), rows_of.column("filters").combine_chunks()
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for (_, _, f, low, high), own in frame.groupby(["label", "dim", "filter", "low", "high"], sort=False).indices.items():
-            if len(own) > 1:
-                at = pa.array(own)
-                of_rows = lists.take(at)
-                cuts = of_rows.offsets.to_numpy()
-                i, j = bucket_links(least, f, frame["row"].to_numpy()[own], frame["part"].to_numpy()[own], matrix(x.take(at)), np.split(of_rows.values.to_numpy()[cuts[0] : cuts[-1]], cuts[1:-1] - cuts[0]), low, high)
-                a_out.append(own[i])
-                b_out.append(own[j])
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        rows = frame["row"].to_numpy()
+        a, b = shard_links(rows_of, least)
+        rows, copies = rows_of.column("row").to_numpy(), rows_of.column("copies").to_numpy()
         return summary(rows[a], rows[b], copies[a], copies[b])
 
     found = work.save(placed.groupBy("shard").applyInArrow(compare, "row bigint, n bigint, root bigint"), "found")
