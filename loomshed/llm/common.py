@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -42,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive lost executors."""
+    """Tables written to the shared folder. They cut lineage and outlive lost executors; `clear` removes them when results are written down."""
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
+        Scratch.made.append(self)
         self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -59,7 +63,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         self.tables = [t for t in self.tables if t not in names]
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
@@ -72,6 +76,14 @@ class Scratch:
         self.drop(*(t for t in self.tables[before:] if t not in names))
 
 
+def clear(since: int = 0, but: Scratch | None = None) -> None:
+    """Remove the folders of all scratch tables that this driver has made after the first `since`, but one: what reads them is worthless then."""
+    gone = [s for s in Scratch.made[since:] if s is not but]
+    for s in gone:
+        s.drop("")
+        Scratch.made.remove(s)
+
+
 def as_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 

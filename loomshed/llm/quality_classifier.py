@@ -32,6 +32,14 @@ def transformed(x: dict[str, np.ndarray]) -> np.ndarray:
     ]).astype(float)
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with factor @ y = b, for a lower triangular factor: row by row, all columns of b at once."""
+    y = np.empty_like(b)
+    for k in range(len(factor)):
+        y[k] = (b[k] - factor[k, :k] @ y[:k]) / factor[k, k]
+    return y
+
+
 @dataclass
 class Discriminant:
     """What scoring needs; mean and scale standardise the features."""
@@ -46,7 +54,7 @@ class Discriminant:
         z = (x - self.mean) / self.scale
         value = []
         for centre, factor, offset in zip(self.centres, self.factors, self.offsets, strict=True):
-            y = np.linalg.solve(factor, (z - centre).T)
+            y = forward(factor, (z - centre).T)
             value.append(offset - 0.5 * (y * y).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip(value[1] - value[0], -500, 500)))
 

@@ -61,3 +61,29 @@ def test_sql_gives_the_same_rows(spark):
 def test_native_operators_stay_in_the_jvm(spark):
     plan = queries.queries()["op4_mix_sources"](spark, "/root/testdata/sf0.001").select(F.col("*"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_scratch_tables_go_when_cleared(spark):
+    import os
+
+    from loomshed.llm.common import Scratch, clear
+
+    before = len(Scratch.made)
+    kept, gone = Scratch(spark, "kept"), Scratch(spark, "gone")
+    for s in (kept, gone):
+        s.save(spark.range(3).toDF("x"), "t")
+    clear(before, but=kept)
+    assert os.path.exists(kept.root.removeprefix("file://")) and not os.path.exists(gone.root.removeprefix("file://")) and Scratch.made[before:] == [kept]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from loomshed.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)

@@ -14,7 +14,7 @@ import pytest
 from llm.helpers import ODD, documents, prose
 
 from loomshed.llm import quality_classifier, quality_rules
-from loomshed.llm.quality_classifier import fit, score_quality
+from loomshed.llm.quality_classifier import fit, forward, score_quality
 from loomshed.llm.quality_rules import GRID, LEVELS, Risk, binomial_cdf, judge_quality, propose, proven_level
 from loomshed.llm.stats import COLUMNS, repeat_words, text_stats
 
@@ -190,3 +190,32 @@ def test_queries(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.97 * len(rows)
     rules = [r for r in quality_rules.query(spark, folder).collect() if labels.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(r.kept for r in rules) >= 0.98 * len(rules)
+
+
+def test_scores_equal_brute_force(spark):
+    """Densities from each class's covariance as it is defined, over features of whole texts, long ones too."""
+    texts, labels = corpus(400)
+    texts += [*(t or "" for t in ODD), prose(5, 40_000, 10**5), "word " * 30_000]
+    got = {r.doc_id: r.score for r in score_quality(documents(spark, texts), spark.createDataFrame(labels, LABELS)).collect()}
+    values = list(zip(*map(text_stats, texts), strict=True))
+    x = quality_classifier.transformed({c: np.array(v, float) for c, v in zip(COLUMNS, values, strict=True)})
+    of = {k: np.array([i for i, q, _ in labels if q == k and zlib.crc32(str(i).encode()) % 4 != 2]) for k in (0, 1)}
+    n = sum(map(len, of.values()))
+    cov = {k: np.cov(x[i].T, bias=True) for k, i in of.items()}
+    pooled = sum(len(i) * cov[k] for k, i in of.items()) / n
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    log = []
+    for k, i in of.items():
+        c = (0.9 * cov[k] + 0.1 * pooled) / np.outer(scale, scale)
+        c = 0.98 * c + 0.02 * np.trace(c) / len(c) * np.eye(len(c)) + 1e-9 * np.eye(len(c))
+        d = (x - x[i].mean(0)) / scale
+        log.append(np.log(len(i) / n) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (d @ np.linalg.inv(c) * d).sum(1))
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-6)
+
+
+def test_forward_solves_a_triangular_system():
+    rng = np.random.default_rng(2)
+    lower = np.tril(rng.normal(size=(9, 9))) + 5 * np.eye(9)
+    b = rng.normal(size=(9, 4))
+    assert np.allclose(lower @ forward(lower, b), b)
