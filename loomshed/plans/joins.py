@@ -121,7 +121,7 @@ _SIDES = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase
 def asof_backward(spark, d):
     """Each purchase with the user's last view before it."""
     a, b = _clicks_and_views(spark, d)
-    return asof_join(a, b, "user_id", "ts").select("event_id", "right_event_id")
+    return asof_join(a, b, "user_id", "ts", bucket="5 days").select("event_id", "right_event_id")
 
 
 @query(f"SELECT a.event_id, b.event_id AS right_event_id FROM {_SIDES.format('ASOF LEFT')} ON a.user_id = b.user_id AND a.ts <= b.ts")
@@ -137,7 +137,7 @@ def asof_forward(spark, d):
 """)
 def asof_nearest(spark, d):
     a, b = _clicks_and_views(spark, d)
-    return asof_join(a, b, "user_id", "ts", "nearest").select("event_id", "right_event_id")
+    return asof_join(a, b, "user_id", "ts", "nearest", bucket="5 days").select("event_id", "right_event_id")
 
 
 @query(f"SELECT a.event_id, CASE WHEN b.ts >= a.ts - INTERVAL 2 HOUR THEN b.event_id END AS right_event_id FROM {_SIDES.format('ASOF LEFT')} ON a.user_id = b.user_id AND a.ts >= b.ts")

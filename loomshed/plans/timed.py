@@ -41,7 +41,7 @@ def time_session(spark, d):
 
 @query(_SESSIONS.format(">"))
 def time_session_by_gap(spark, d):
-    return sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes").select("user_id", "first", "last", "n")
+    return sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes", bucket="5 days").select("user_id", "first", "last", "n")
 
 
 @query("""

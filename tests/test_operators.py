@@ -29,6 +29,21 @@ def times(spark, rows):
     return spark.createDataFrame(rows, "id bigint, k string, ts timestamp_ntz")
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("bucket", ["7 minutes", "1 hour"])
+def test_asof_in_buckets_is_the_same(spark, direction, bucket):
+    left = times(spark, [(k, "ab"[k % 2], at(k * 7 % 200)) for k in range(60)] + [(99, "c", at(0)), (98, None, at(0))])
+    right = times(spark, [(100 + k, "ab"[k % 3 % 2], at(k * 37 % 190 // 5 * 5)) for k in range(40)])
+    got = [sorted(map(str, asof_join(left, right, "k", "ts", direction, tie="id", bucket=b).collect())) for b in (None, bucket)]
+    assert got[0] == got[1] and len(got[0]) == 62
+
+
+def test_sessions_in_buckets_are_the_same(spark):
+    df = times(spark, [(k, "ab"[k % 2], at(k * k * 13 % 900)) for k in range(80)])
+    whole, dealt = (sorted(map(str, sessions(df, "k", "ts", "9 minutes", bucket=b).collect())) for b in (None, "17 minutes"))
+    assert whole == dealt and len(whole) > 10
+
+
 @pytest.mark.parametrize(("direction", "tolerance", "expected"), [
     ("backward", None, {1: 11, 2: 12, 3: None, 4: None}), ("forward", None, {1: 11, 2: None, 3: 13, 4: None}), ("nearest", None, {1: 11, 2: 12, 3: 13, 4: None}), ("backward", "5 minutes", {1: 11, 2: None, 3: None, 4: None}),
 ])
