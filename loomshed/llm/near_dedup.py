@@ -132,18 +132,18 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     members = work.save(keyed.join(shared_keys, "key"), "members")
 
-    # of each candidate, how many of its shingles another candidate has too
+    # each candidate's shingles are made once more and written down: nothing after this reads a text
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, most=2 << 20):
-            found = [shingles(t, size, known) for t in batch.column("text").to_pylist()]
-            of = np.repeat(np.asarray(batch.column("__row").to_numpy()), [h.size for h in found])
-            if of.size:
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(found).view(np.int64))], names=["row", "h"])
+            found = [shingles(t, size, known).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "h"])
 
     candidates = work.save(members.select("row", "n").distinct(), "candidates")
     chosen = texts.join(candidates, texts["__row"] == candidates["row"]).select("__row", "text")
-    alone = chosen.mapInArrow(spread, "row bigint, h bigint").groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("row")).where("c = 1").groupBy("row").agg(F.count("*").alias("own"))
+    hashes = work.save(chosen.mapInArrow(spread, "row bigint, h array<bigint>"), "hashes")
+    # of each candidate, how many of its shingles no other candidate has
+    alone = hashes.select("row", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("row")).where("c = 1").groupBy("row").agg(F.count("*").alias("own"))
     known = candidates.join(alone, "row", "left").select("row", "n", F.coalesce("own", F.lit(0)).alias("own")).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     alive = work.save(members.drop("n").join(work.save(known, "known"), "row"), "alive")
     centres = work.save(alive.groupBy("key").agg(F.min(F.struct("own", "row", "n")).alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
@@ -151,22 +151,9 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, whether their full sets are similar enough, and how many shingles both have."""
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, last, left = WordHashes(), None, None
-            for batch in slices(batches, "text_b", 4 << 20):
-                ok, shared, a, text_a = [], [], batch.column("a").to_pylist(), batch.column("text_a")
-                for k, t in enumerate(batch.column("text_b").to_pylist()):
-                    if a[k] != last:
-                        last, left = a[k], shingles(text_a[k].as_py(), size, known)
-                    right = shingles(t, size, known)
-                    both = left.size + right.size - np.unique(np.concatenate([left, right])).size
-                    shared.append(both)
-                    ok.append(100 * both >= percent * (left.size + right.size - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(shared, pa.int64())], names=["a", "b", "ok", "both"])
-
-        left, right = texts.select(F.col("__row").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("__row").alias("b"), F.col("text").alias("text_b"))
-        return work.save(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, ok boolean, both bigint"), name)
+        side = lambda k: hashes.select(F.col("row").alias(k), F.col("h").alias(f"h_{k}"))
+        met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.size(F.array_intersect("h_a", "h_b")).cast("bigint").alias("both"), (F.size("h_a") + F.size("h_b")).alias("sizes"))
+        return work.save(met.select("a", "b", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("ok"), "both"), name)
 
     c = F.col("centre")
     stars = buckets.where((c["row"] != F.col("row")) & may_link(c["n"], F.col("n"), c["n"] - c["own"], F.col("n") - F.col("own"), percent)).select(F.least("row", c["row"]).alias("a"), F.greatest("row", c["row"]).alias("b")).distinct()
