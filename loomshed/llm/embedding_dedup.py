@@ -25,7 +25,7 @@ from .common import Scratch
 from .components import connected_components
 
 BLOCK = 1024
-#: Buckets of so many rows at most are compared together with others of their size.
+#: Buckets of so many rows at most are looked through together with others of their size.
 SMALL = 48
 
 
@@ -110,19 +110,8 @@ def bucket_links(least: float, f: int, rows: np.ndarray, part: np.ndarray, z: np
     return i[a[ok]], j[b[ok]]
 
 
-def first_shared(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest filter that rows a and b of a matrix of sorted lists (filled up with -1) share, pair by pair."""
-    out = np.empty(a.size, np.int64)
-    step = max(1, (1 << 23) // lists.shape[1] ** 2)
-    for k in range(0, a.size, step):
-        x, y = lists[a[k : k + step]], lists[b[k : k + step]]
-        shared = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
-        out[k : k + step] = x[np.arange(len(x)), shared.argmax(axis=1)]
-    return out
-
-
 def shard_links(rows_of: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in rows_of of the links of all its buckets; buckets of one small size are compared together, large ones one by one."""
+    """Places in rows_of of the links of all its buckets; of small buckets those of one size are looked through together for any link."""
     frame = pd.DataFrame({c: rows_of.column(c).to_pandas() for c in ("row", "label", "dim", "filter", "part", "low", "high")})
     x, lists = rows_of.column("x").combine_chunks(), rows_of.column("filters").combine_chunks()
     bucket = frame.groupby(["label", "dim", "filter", "low", "high"], sort=False).ngroup().to_numpy()
@@ -130,11 +119,7 @@ def shard_links(rows_of: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
     size = np.bincount(bucket)
     start = np.cumsum(size) - size
     row, filters, part, low, high, dim = (frame[c].to_numpy() for c in ("row", "filter", "part", "low", "high", "dim"))
-    cuts = lists.offsets.to_numpy()
-    ids = lists.values.to_numpy()
-    lengths = np.diff(cuts)
-    filled = np.full((len(row), max(1, lengths.max(initial=0))), -1, np.int64)
-    filled[np.repeat(np.arange(len(row)), lengths), np.arange(lengths.sum()) - np.repeat(cuts[:-1] - cuts[0], lengths)] = ids[cuts[0] : cuts[-1]]
+    cuts, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
     z: dict[int, np.ndarray] = {}
     place = np.zeros(len(row), np.int64)
     for d in np.unique(dim):
@@ -143,28 +128,20 @@ def shard_links(rows_of: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
     a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     of_bucket = dim[order[start]] if size.size else dim
     for d in np.unique(dim):
-        for s in np.unique(size[of_bucket == d]):
-            chosen = np.flatnonzero((size == s) & (of_bucket == d))
-            if s < 2:
-                continue
-            if s > SMALL:
-                for k in chosen:
-                    at = order[start[k] : start[k] + s]
-                    i, j = bucket_links(least, filters[at[0]], row[at], part[at], z[d][place[at]], [ids[cuts[y] : cuts[y + 1]] for y in at], low[at[0]], high[at[0]])
-                    a_out.append(at[i])
-                    b_out.append(at[j])
-                continue
-            for k in range(0, chosen.size, max(1, (1 << 20) // (s * max(s, d)))):
-                at = order[start[chosen[k : k + max(1, (1 << 20) // (s * max(s, d)))]][:, None] + np.arange(s)]
+        linked = [np.flatnonzero((of_bucket == d) & (size > SMALL))]
+        for s in range(2, SMALL + 1):
+            chosen = np.flatnonzero((of_bucket == d) & (size == s))
+            step = max(1, (1 << 20) // (s * max(s, int(d))))
+            for k in range(0, chosen.size, step):
+                at = order[start[chosen[k : k + step]][:, None] + np.arange(s)]
                 v = z[d][place[at]]
-                near = v @ v.transpose(0, 2, 1) >= least
-                near &= (part[at] == low[at])[:, :, None] & (part[at] == high[at])[:, None, :]
-                near &= (row[at][:, :, None] < row[at][:, None, :]) | (low[at] < high[at])[:, :, None]
-                n, i, j = np.nonzero(near)
-                a, b = at[n, i], at[n, j]
-                ok = first_shared(filled, a, b) == filters[a]
-                a_out.append(a[ok])
-                b_out.append(b[ok])
+                near = np.count_nonzero(v @ v.transpose(0, 2, 1) >= least - 1e-9, axis=(1, 2))
+                linked.append(chosen[k : k + step][near > s])  # each row is near itself
+        for k in np.concatenate(linked):
+            at = order[start[k] : start[k] + size[k]]
+            i, j = bucket_links(least, filters[at[0]], row[at], part[at], z[d][place[at]], [ids[cuts[y] : cuts[y + 1]] for y in at], low[at[0]], high[at[0]])
+            a_out.append(at[i])
+            b_out.append(at[j])
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
