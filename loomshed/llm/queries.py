@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens
+from . import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": secret_scan.query,
         "op8_token_counts": tokens.query,
         "op9_quality_rules": quality_rules.query,
+        "op11_warc": warc.query,
     }
 
 
@@ -30,6 +31,11 @@ _CLOSURE = """
 """
 
 ORACLES = {
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), q AS (SELECT *, octet_length(encode(payload)) AS bytes, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+        r AS (SELECT *, bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM q)
+        SELECT page_id, bytes::BIGINT AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+    """,
     "op3_embedding_near_dedup": f"""
         WITH RECURSIVE sound AS (
           SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
