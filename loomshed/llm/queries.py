@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens, warc
+from . import alignment, embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": tokens.query,
         "op9_quality_rules": quality_rules.query,
         "op11_warc": warc.query,
+        "op13_token_alignment": alignment.query,
     }
 
 
