@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens, warc
+from . import alignment, collocations, embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": tokens.query,
         "op9_quality_rules": quality_rules.query,
         "op11_warc": warc.query,
+        "op12_collocations": collocations.query,
         "op13_token_alignment": alignment.query,
     }
 
@@ -32,6 +33,19 @@ _CLOSURE = """
 """
 
 ORACLES = {
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, d, array_to_string(w[k:k + d - 1], ' ') AS phrase FROM (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS k FROM w, range(1, 5) t(d) WHERE len(w) >= d)),
+        f AS (SELECT lang, d, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30 OR d = 1),
+        words AS (SELECT lang, sum(a) AS n FROM f WHERE d = 1 GROUP BY lang),
+        cuts AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(string_split(c.phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, d)) AS k FROM f WHERE d > 1) c),
+        scored AS (SELECT cuts.*, l.a AS l, r.a AS r, (2000000::HUGEINT * cuts.a) // (l.a + r.a) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.d > 2 AND f.lang = b.lang AND len(f.phrase) > len(b.phrase) AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * f.a >= 80 * b.a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+    """,
     "op11_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), q AS (SELECT *, octet_length(encode(payload)) AS bytes, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
         r AS (SELECT *, bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM q)
