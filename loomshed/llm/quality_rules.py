@@ -102,12 +102,12 @@ def first_level(cutoffs: str) -> Column:
 
 
 def proposed(good_and_bad: DataFrame, strata: list[str | None], risk: Risk) -> dict[str | None, list[list[int]]]:
-    """Of each stratum the cutoffs by rule and level, from the proposing part's steps."""
-    tall = good_and_bad.select("__stratum", "label", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES))).alias("x"))
+    """Of each stratum the cutoffs by rule and level, from the proposing part's steps; no other stratum's are counted."""
+    wanted = by_stratum(good_and_bad, dict.fromkeys(strata, True), "boolean", "wanted").where("wanted")
+    tall = wanted.select("__stratum", "label", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES))).alias("x"))
     counts = {(s, r): np.zeros((2, len(GRID) + 1), np.int64) for s in strata for r in RULES}
     for r in tall.groupBy("__stratum", "x.rule", "label", "x.step").count().collect():
-        if r["__stratum"] in strata:
-            counts[r["__stratum"], r["rule"]][1 - r["label"], r["step"]] += r["count"]
+        counts[r["__stratum"], r["rule"]][1 - r["label"], r["step"]] += r["count"]
     return {s: [propose(counts[s, r], risk.price) for r in RULES] for s in strata}
 
 

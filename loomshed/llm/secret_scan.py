@@ -38,9 +38,10 @@ class EntropyRule:
 
     window: int = 20
     share: float = 0.88
-    #: Words, paths, identifiers, numbers, times, UUIDs and filler: a secret needs digits and letters mixed closely.
+    #: Words, paths, identifiers, numbers, times, UUIDs and filler: a secret needs digits and letters mixed closely. Neighbouring repeats take
+    #: different characters, so that a run can be split in one way only and a match takes time in proportion to the text.
     allow: tuple[str, ...] = (
-        r"[A-Za-z]+[0-9]{0,4}", r"[0-9]+", r"[=_+/-]+", r"(.)\1+", r"[A-Za-z]*([_/+-]+[A-Za-z]*)+[0-9]{0,4}=*", r"[0-9TZ]+([_/+-]+[0-9TZ]+)+",
+        r"[A-Za-z]+[0-9]{0,4}", r"[0-9]+", r"[=_+/-]+", r"(.)\1+", r"(?=[A-Za-z]*[_/+-])[A-Za-z]*(?:[_/+-]+[A-Za-z]+)*[_/+-]*[0-9]{0,4}=*", r"[0-9TZ]+([_/+-]+[0-9TZ]+)+",
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|sample|dummy|placeholder|xxxx|changeme).*",
     )
 

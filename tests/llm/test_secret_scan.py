@@ -83,6 +83,73 @@ def test_no_false_alarms_on_prose(spark):
     assert len(spans) > 100 and all(sum(c.isdigit() for c in w) >= 2 and any(c.isalpha() for c in w) for w in spans)
 
 
+def brute_entropy(text, rule):
+    """Spans of candidates, found without patterns and scored window by window."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    classes = [(digits + "abcdef", 16), (digits + "ABCDEF", 16), (digits + letters, 36), (digits + letters.upper(), 36), (digits + letters + letters.upper(), 62), (digits + letters + letters.upper() + "+/_-", 64)]
+    inside, found, k = set(classes[-1][0]), [], 0
+    while k < len(text):
+        end = k
+        while end < len(text) and text[end] in inside:
+            end += 1
+        if end - k < 16:
+            k = max(end, k + 1)
+            continue
+        bare = text[k:end]
+        while end < len(text) and text[end] == "=" and end - k - len(bare) < 2:
+            end += 1
+        word = text[k:end]
+        symbols = next(n for c, n in classes if set(word) <= set(c) or n == 64)
+        n = min(rule.window, len(word))
+        parts = [Counter(word[i : i + n]) for i in range(len(word) - n + 1)]
+        peak = max(-sum(c / n * math.log2(c / n) for c in p.values()) for p in parts)
+        if not word.isalpha() and not allowed(word) and peak >= rule.share * expected_entropy(symbols, n) - 1e-9:
+            found.append((k, 3, end))
+        k = end
+    return found
+
+
+def allowed(word):
+    """The allow list without patterns that repeat within repeats."""
+    parts = re.split("[_/+-]", word)
+    tail = re.fullmatch("([A-Za-z]*)([0-9]{0,4})(=*)", parts[-1])
+    path = len(parts) > 1 and all(p == "" or p.isalpha() for p in parts[:-1]) and bool(tail)
+    stamp = len(parts) > 1 and parts[0] != "" and parts[-1] != "" and all(set(p) <= set("0123456789TZ") for p in parts)
+    uuid = [len(p) for p in word.split("-")] == [8, 4, 4, 4, 12] and set(word) <= set("0123456789abcdefABCDEF-")
+    filler = any(x in word.lower() for x in ("example", "sample", "dummy", "placeholder", "xxxx", "changeme"))
+    return bool(re.fullmatch("[A-Za-z]+[0-9]{0,4}", word)) or word.isdigit() or set(word) <= set("=_+/-") or len(set(word)) == 1 or path or stamp or uuid or filler
+
+
+RUNS = ["-" * 29 + "7d159c1302d0y0", "-" * 10_000 + "7d1y", "_/" * 5000 + "12345x", "a_" * 5000 + "1234567", "1-" * 5000 + "x", "ab" * 5000 + "1" * 9 + "=" * 50, "T1Z" * 4000 + "-a9", "password" + " " * 10_000 + "x", ("token" + " " * 50) * 500, "AKIA" * 3000, "0123456789abcde " * 2000, "example" * 2000 + "1", "a1" * 7 + "+" * 9000 + "1a1a"]
+
+
+@pytest.mark.parametrize("text", RUNS, ids=range(len(RUNS)))
+def test_no_run_takes_long(text):
+    """Patterns of the base, the candidates and each entry of the allow list, on runs that could be split in many ways."""
+    import time
+
+    began = time.process_time()
+    base_spans(text)
+    entropy_spans(text, EntropyRule())
+    for p in EntropyRule().allow:
+        re.fullmatch(p, text)
+    assert time.process_time() - began < 0.5
+
+
+def test_allow_list_means_what_it_says():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        word = "".join(rng.choice(["a", "Bc", "_", "-", "/", "+", "1", "22", "T", "=", "Z9"]) for _ in range(rng.randrange(1, 9)))
+        assert any(re.fullmatch(p, word) for p in EntropyRule().allow) == allowed(word), word
+
+
+def test_entropy_spans_of_the_query(spark):
+    """Against brute force over whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()
+    got = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x.startswith("entropy")] for r in query(spark, "/root/testdata/sf0.1").collect()}
+    assert {r.doc_id: [("entropy", str(a), str(b)) for a, _, b in brute_entropy(r.text, EntropyRule())] for r in docs} == got and sum(map(len, got.values())) > 100
+
+
 def test_table(spark):
     docs = documents(spark, [*ODD, f"Token: {KEY}", f"Token: {KEY}", f"x {KEY}9Zq y"]).withColumnRenamed("lang", "spans")
     got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in scan_secrets(docs).collect()}
