@@ -2,7 +2,7 @@
 
 The text is cut into shards, a few million words of one language each, and every shard has a trie of its own whose nodes
 are phrases with their counts, by level: of one word, of two, and so on to the deepest. A level is serialised sorted, in one block for each
-prefix range: the children of some of the level's parents. What all shards have of a range meets in one group, where the sorted runs are
+prefix range: parents, each with its children's last words. What all shards have of a range meets in one group, where the sorted runs are
 merged. A phrase that all shards together hold often enough goes back to the shards that have it, with its total, and only such nodes
 get children: no phrase is more frequent than its parts, so nothing is missed, and what is shuffled doesn't grow with the rare phrases.
 
@@ -14,11 +14,13 @@ Children of a parent that is a large part of all text are dealt out to as many r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcd
 GAP = -1
 
 #: Rows of a level: a shard's text as the numbers of its nodes, or a block of its trie.
-LEVEL = "is_text boolean, lang string, shard bigint, words bigint, state binary, range int, block binary"
+LEVEL = "is_text boolean, lang string, shard bigint, words bigint, state binary, range int, parents binary, block binary"
 #: Rows of what is merged: a phrase with its total, or what goes back to a shard.
 MERGED = "lang string, phrase string, a bigint, lefts array<bigint>, rights array<bigint>, shard bigint, block binary"
 
@@ -72,13 +74,50 @@ def rows(kind: str, **columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(size, types[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
-def level_rows(lang: str, shard: int, state: np.ndarray, words: int | None, node: dict[str, pa.Array], ranges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A shard's text, and its nodes in a block for each range, sorted as they are."""
-    yield rows(LEVEL, is_text=[True], lang=[lang], shard=[shard], words=[words], state=[state.astype(np.int32).tobytes()])
-    order = np.argsort(ranges, kind="stable")
-    starts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
-    blocks = [packed({c: x.take(pa.array(k)) for c, x in node.items()}) for k in np.split(order, starts[1:])] if order.size else []
-    yield rows(LEVEL, is_text=[False] * len(blocks), lang=[lang] * len(blocks), shard=[shard] * len(blocks), range=ranges[order][starts], block=blocks)
+def without_long_gaps(state: np.ndarray) -> np.ndarray:
+    return state[(state >= 0) | (np.append(0, state[:-1]) >= 0)]
+
+
+@dataclass
+class Nodes:
+    """A level of a shard's trie, sorted: of each node its parent's number, its last word, its count, and the counts of its right parts."""
+
+    parent: np.ndarray
+    last: pa.Array
+    n: np.ndarray
+    rights: list[np.ndarray]
+    #: Of the parents: phrases, and counts of their left parts and of themselves.
+    phrases: pa.Array
+    lefts: list[np.ndarray]
+
+    def blocks(self, ranges: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """range, its parents with their numbers of children, and its nodes."""
+        order = np.argsort(ranges, kind="stable")
+        starts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
+        for k in np.split(order, starts[1:]) if order.size else []:
+            firsts = np.flatnonzero(np.diff(self.parent[k], prepend=-1))
+            parents = self.parent[k[firsts]]
+            above = {"phrase": self.phrases.take(pa.array(parents)), "children": pa.array(np.diff(np.append(firsts, k.size)))}
+            above |= {f"l{i}": pa.array(x[parents]) for i, x in enumerate(self.lefts, 1)}
+            nodes = {"step": pa.array(np.diff(k, prepend=0).astype(np.int32)), "last": self.last.take(pa.array(k)), "n": pa.array(self.n[k])}
+            yield int(ranges[k[0]]), packed(above), packed(nodes | {f"r{i}": pa.array(x[k]) for i, x in enumerate(self.rights, 1)})
+
+
+def level_rows(lang: str, shard: int, state: np.ndarray, words: int | None, nodes: Nodes, ranges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A shard's text, and its nodes in a block for each range."""
+    yield rows(LEVEL, is_text=[True], lang=[lang], shard=[shard], words=[words], state=[zstandard.compress(without_long_gaps(state).astype(np.int32).tobytes(), 1)])
+    blocks = list(nodes.blocks(ranges))
+    yield rows(LEVEL, is_text=[False] * len(blocks), lang=[lang] * len(blocks), shard=[shard] * len(blocks), range=[b[0] for b in blocks], parents=[b[1] for b in blocks], block=[b[2] for b in blocks])
+
+
+def read_block(parents: bytes, block: bytes, d: int) -> dict[str, pa.Array]:
+    """node, phrase, n and the counts of its parts of each node of a block."""
+    above, nodes = unpacked(parents).combine_chunks(), unpacked(block).combine_chunks()
+    of = pa.array(np.repeat(np.arange(above.num_rows), above.column("children").to_numpy()))
+    column = lambda t, c: t.column(c).combine_chunks()
+    last = column(nodes, "last")
+    found = {"node": pa.array(np.cumsum(nodes.column("step").to_numpy()), pa.int64()), "phrase": last if d == 1 else pc.binary_join_element_wise(column(above, "phrase").take(of), last, b" "), "n": column(nodes, "n")}
+    return found | {f"l{k}": column(above, f"l{k}").take(of) for k in range(1, d)} | {f"r{k}": column(nodes, f"r{k}") for k in range(1, d)}
 
 
 def hashed(phrases: list[bytes]) -> np.ndarray:
@@ -99,8 +138,8 @@ def first_level(docs: DataFrame, ranges: int, shard_words: int) -> DataFrame:
                 place[order], place[-1] = np.arange(len(names)), GAP
                 state = place[np.concatenate(parts)]
                 n = np.bincount(state[state >= 0], minlength=len(names))
-                node = {"node": pa.array(np.arange(len(names)), pa.int32()), "phrase": pa.array(names, pa.binary()), "n": pa.array(n, pa.int64())}
-                yield from level_rows(lang, (task << 32) + number + k, state, int(n.sum()), node, (hashed(names) % np.uint64(ranges)).astype(np.int64))
+                nodes = Nodes(np.zeros(len(names), np.int64), pa.array(names, pa.binary()), n.astype(np.int64), [], pa.array([b""], pa.binary()), [])
+                yield from level_rows(lang, (task << 32) + number + k, state, int(n.sum()), nodes, (hashed(names) % np.uint64(ranges)).astype(np.int64))
 
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -122,7 +161,7 @@ def merged(level: DataFrame, d: int, least: int, feeds: bool) -> DataFrame:
 
     def merge(blocks: pa.Table) -> pa.Table:
         blocks = blocks.sort_by("shard")
-        tables = [unpacked(b.as_py()) for b in blocks.column("block")]
+        tables = [pa.table(read_block(a.as_py(), b.as_py(), d)) for a, b in zip(blocks.column("parents"), blocks.column("block"), strict=True)]
         table = pa.concat_tables(tables).combine_chunks()
         phrase = np.array([*table.column("phrase").to_pylist(), None], object)[:-1]
         order = np.argsort(phrase, kind="stable")  # the blocks are sorted runs, which it merges
@@ -144,7 +183,7 @@ def merged(level: DataFrame, d: int, least: int, feeds: bool) -> DataFrame:
                 out.append(rows(MERGED, shard=[s for s, _ in back], block=[packed({c: t.column(c).combine_chunks() for c in ("node", "phrase", "total", *parts)}) for _, t in back]))
         return pa.Table.from_batches(out)
 
-    return level.where("not is_text").select("lang", "range", "shard", "block").groupBy("lang", "range").applyInArrow(merge, MERGED)
+    return level.where("not is_text").select("lang", "range", "shard", "parents", "block").groupBy("lang", "range").applyInArrow(merge, MERGED)
 
 
 def next_level(level: DataFrame, back: DataFrame, d: int, ranges: int) -> DataFrame:
@@ -155,7 +194,7 @@ def next_level(level: DataFrame, back: DataFrame, d: int, ranges: int) -> DataFr
             return pa.Table.from_batches([rows(LEVEL, shard=[])])
         known = pa.concat_tables([unpacked(b.as_py()) for b in back.column("block")]).combine_chunks()
         known = known.take(pc.sort_indices(known.column("phrase")))
-        state, node = np.frombuffer(text.column("state")[0].as_py(), np.int32).astype(np.int64), known.column("node").to_numpy()
+        state, node = np.frombuffer(zstandard.decompress(text.column("state")[0].as_py()), np.int32).astype(np.int64), known.column("node").to_numpy()
         place = np.full(max(int(state.max(initial=0)), int(node.max())) + 2, GAP)  # the last stands for gaps
         place[node] = np.arange(node.size)
         here = place[state]
@@ -164,15 +203,14 @@ def next_level(level: DataFrame, back: DataFrame, d: int, ranges: int) -> DataFr
         parent, link = key // node.size, key % node.size
         state = np.full(here.size, GAP)
         state[at] = inverse
-        phrases, totals = known.column("phrase").to_pylist(), known.column("total").to_numpy()
-        last = pa.array([p.rsplit(b" ", 1)[-1] for p in phrases], pa.binary())
-        column = lambda c, k: known.column(c).to_numpy()[k]
-        grown = {"node": np.arange(key.size, dtype=np.int32), "n": n.astype(np.int64)}
-        grown |= {f"l{k}": column(f"l{k}", parent) for k in range(1, d)} | {f"l{d}": totals[parent], "r1": totals[link]} | {f"r{k + 1}": column(f"r{k}", link) for k in range(1, d)}
-        grown = {c: pa.array(x) for c, x in grown.items()} | {"phrase": pc.binary_join_element_wise(known.column("phrase").combine_chunks().take(pa.array(parent)), last.take(pa.array(link)), b" ")}
-        h = hashed(phrases)
+        phrase, totals = known.column("phrase").combine_chunks(), known.column("total").to_numpy()
+        last = pa.array([p.rsplit(b" ", 1)[-1] for p in phrase.to_pylist()], pa.binary())
+        column = lambda c: known.column(c).to_numpy()
+        lefts, rights = [*(column(f"l{k}") for k in range(1, d)), totals], [totals, *(column(f"r{k}") for k in range(1, d))]
+        nodes = Nodes(parent, last.take(pa.array(link)), n.astype(np.int64), [x[link] for x in rights], phrase, lefts)
+        h = hashed(phrase.to_pylist())
         dealt = h[parent] + h[link] % (1 + totals[parent] // SPLIT).astype(np.uint64)
-        return pa.Table.from_batches(list(level_rows(text.column("lang")[0].as_py(), text.column("shard")[0].as_py(), state, None, grown, (dealt % np.uint64(ranges)).astype(np.int64))))
+        return pa.Table.from_batches(list(level_rows(text.column("lang")[0].as_py(), text.column("shard")[0].as_py(), state, None, nodes, (dealt % np.uint64(ranges)).astype(np.int64))))
 
     texts = level.where("is_text").select("lang", "shard", "state")
     return texts.groupBy("shard").cogroup(back.where("block is not null").select("shard", "block").groupBy("shard")).applyInArrow(grow, LEVEL)
