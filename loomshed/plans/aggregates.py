@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.rollups import HLL_ERROR, KLL_ERROR, THETA_ERROR, bitmaps, close, distinct_counts, in_common, merged_sketches, sketched
+from ..operators.selection import exact_percentiles
 from ..operators.skew import distinct_per_group
 from ..operators.windows import distinct_on
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import query
 
 
@@ -78,7 +80,15 @@ def agg_regression(spark, d):
 
 @query("SELECT l_returnflag, round(median(l_extendedprice), 4) AS mid, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 def agg_percentiles(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("mid"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"))
+    """Three large groups: by selection, no task holds one."""
+    p = exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"mid": 0.5, "p90": 0.9}, large=10_000)
+    return p.select("l_returnflag", F.round("mid", 4).alias("mid"), F.round("p90", 4).alias("p90"))
+
+
+@query("SELECT o_custkey, round(median(o_totalprice), 4) AS mid FROM orders GROUP BY o_custkey")
+def agg_percentiles_small(spark, d):
+    """Many small groups: each is sorted where it is."""
+    return exact_percentiles(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", {"mid": 0.5}).select("o_custkey", F.round("mid", 4).alias("mid"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS dearest, arg_min(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")
@@ -199,3 +209,45 @@ def agg_moments(spark, d):
 def agg_listagg_sql(spark, d):
     both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return spark.sql("SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names, any_value(r_name) AS region FROM {both} GROUP BY n_regionkey", both=both)
+
+
+def _by_day(spark, d):
+    e = table(spark, d, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return e, written(sketched(e, ["event_type", "day"], "user_id", "value"), "sketches")
+
+
+@query("SELECT event_type, count(*) AS n, true AS users, true AS users_by_theta, true AS middle, true AS high FROM events GROUP BY event_type")
+def agg_sketch_rollup(spark, d):
+    """Sketches by day, kept as rows, make those of the whole time: distinct users and ranks within their stated errors."""
+    e, days = _by_day(spark, d)
+    whole = merged_sketches(days, ["event_type"])
+    at = lambda p: F.kll_sketch_get_quantile_double("kll", F.lit(p))
+    about = whole.select("event_type", "n", F.hll_sketch_estimate("hll").alias("h"), F.theta_sketch_estimate("theta").alias("t"), at(0.5).alias("m"), at(0.99).alias("p"))
+    exact = distinct_per_group(e, ["event_type"], "user_id", "users").withColumnRenamed("event_type", "of")
+    held = e.join(F.broadcast(about.select(F.col("event_type").alias("of"), "m", "p")), F.col("event_type") == F.col("of")).groupBy("of").agg(F.avg((F.col("value") <= F.col("m")).cast("double")).alias("below_m"), F.avg((F.col("value") <= F.col("p")).cast("double")).alias("below_p"))
+    j = about.join(exact, F.col("event_type") == F.col("of")).drop("of").join(held, F.col("event_type") == F.col("of"))
+    near = lambda c, p: F.abs(F.col(c) - p) < KLL_ERROR
+    return j.select("event_type", "n", close(F.col("h"), F.col("users"), HLL_ERROR).alias("users"), close(F.col("t"), F.col("users"), THETA_ERROR).alias("users_by_theta"), near("below_m", 0.5).alias("middle"), near("below_p", 0.99).alias("high"))
+
+
+@query("SELECT day, true AS common FROM (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day, event_type FROM events WHERE event_type IN ('view', 'purchase')) GROUP BY day HAVING count(*) = 2")
+def agg_sketch_intersection(spark, d):
+    """Users who both viewed and bought on a day, from the two sketches of the day alone."""
+    e, days = _by_day(spark, d)
+    of = lambda k: days.where(F.col("event_type") == k)
+    about = in_common(of("view"), of("purchase"), ["day"])
+    users = e.where("event_type IN ('view', 'purchase')").groupBy("day", "user_id").agg(F.count_distinct("event_type").alias("k"))
+    exact = users.groupBy(F.col("day").alias("of")).agg(F.count_if(F.col("k") == 2).alias("exact"), F.count("*").alias("any"))
+    # an intersection is off by the error of the union
+    return about.join(exact, F.col("day") == F.col("of")).select("day", (F.abs(F.col("common") - F.col("exact")) <= F.greatest(THETA_ERROR * F.col("any"), F.lit(1.0))).alias("common"))
+
+
+@query("""
+    SELECT event_type, month, CASE WHEN event_type IS NOT NULL AND month IS NOT NULL THEN 0 WHEN event_type IS NOT NULL THEN 1 ELSE 2 END AS "grouping", count(DISTINCT user_id) AS n
+    FROM (SELECT *, date_trunc('month', ts)::TIMESTAMP AS month FROM events) GROUP BY GROUPING SETS ((event_type, month), (event_type), ())
+""")
+def agg_bitmap_rollup(spark, d):
+    """Exact distinct users by type and month, by type, and of all, from bitmaps by type and day: the rows are read once."""
+    e = table(spark, d, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    days = written(bitmaps(e, ["event_type", "day"], "user_id"), "bitmaps").withColumn("month", F.date_trunc("month", "day").cast("timestamp_ntz"))
+    return distinct_counts(days, ["event_type", "month"], ["event_type"], [])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.fixpoint import hops
 from ..operators.subqueries import not_in
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import query
 
 
@@ -62,9 +63,24 @@ def subquery_lateral(spark, d):
     return c.lateralJoin(best).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 20) SELECT n, f FROM t")
-def recursive_cte(spark, d):
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 20) SELECT n, f FROM t")
+_EDGES = """
+    edges AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_quantity >= 45),
+    ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_EDGES}, seeds AS (SELECT 'c' || min(c_custkey) AS node FROM customer GROUP BY c_nationkey),
+    walk(node, hops) AS (SELECT node, 0 FROM seeds UNION SELECT b, hops + 1 FROM walk JOIN ways ON a = node WHERE hops < 40)
+    SELECT node, min(hops)::INTEGER AS hops FROM walk GROUP BY node
+""")
+def recursive_hops(spark, d):
+    """Customers and suppliers by the least number of steps from each nation's first customer, over who bought from whom: rounds of joins until nothing is new."""
+    o, li = table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "lineitem").where("l_quantity >= 45")
+    edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    both = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    seeds = table(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k")).select(F.concat(F.lit("c"), "k").alias("node"))
+    return hops(both, seeds)
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type")

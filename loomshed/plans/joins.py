@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
+from ..operators.inequality import inequality_anti, inequality_full, inequality_join, inequality_semi
 from ..operators.ranges import range_join
 from ..operators.skew import heavy_hitters, salted_join
 from ..sources.tables import table
@@ -102,11 +103,12 @@ def join_range_band(spark, d):
     ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
 """)
 def join_interval(spark, d):
-    """Clicks in the six hours after a view of the same user."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    a, b = e.where("event_type = 'view'").alias("a"), e.where("event_type = 'click'").alias("b")
-    near = (F.col("b.ts") > F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr("INTERVAL 6 HOURS"))
-    return a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & near).select(F.col("a.event_id").alias("view_id"), F.col("b.event_id").alias("click_id"))
+    """Clicks in the six hours after a view of the same user: a user's rows meet by stretches of six hours, not all with all."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    hours = 6 * 3600 * 1_000_000
+    a = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), (F.col("at") + 1).alias("low"), (F.col("at") + hours).alias("high"))
+    b = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), "at")
+    return range_join(b, a, "at", "low", "high", float(hours), on="user_id").select("view_id", "click_id")
 
 
 def _clicks_and_views(spark, d):
@@ -184,3 +186,44 @@ def join_anti_theta(spark, d):
     """An inequality against a table of fixed size."""
     n = table(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey")
     return table(spark, d, "customer").join(n, F.col("n_nationkey") > F.col("c_nationkey"), "left_anti").select("c_custkey")
+
+
+_LATE = "o_totalprice < l_extendedprice / 40 AND o_orderdate > l_shipdate + INTERVAL 1500 DAY"
+
+
+def _orders_and_lines(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return o, table(spark, d, "lineitem").select("l_orderkey", "l_quantity", (F.col("l_extendedprice") / 40).alias("bound"), (F.col("l_shipdate") + F.expr("INTERVAL 1500 DAYS")).alias("due"))
+
+
+@query(f"SELECT o_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM orders JOIN lineitem ON {_LATE} GROUP BY o_orderkey")
+def join_inequality(spark, d):
+    """Two inequalities between two growing tables, as one join on equal keys."""
+    o, li = _orders_and_lines(spark, d)
+    return inequality_join(o, li, "o_totalprice < bound", "o_orderdate > due").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE {_LATE})")
+def join_semi_inequality(spark, d):
+    """Whether an order has a partner: a running extreme over both tables in order."""
+    o, li = _orders_and_lines(spark, d)
+    return inequality_semi(o, li, "o_totalprice < bound", "o_orderdate > due").select("o_orderkey")
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE {_LATE})")
+def join_anti_inequality(spark, d):
+    o, li = _orders_and_lines(spark, d)
+    return inequality_anti(o, li, "o_totalprice < bound", "o_orderdate > due").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice * 0.2 > l_extendedprice)")
+def join_anti_one_inequality(spark, d):
+    """One inequality: the other table's extreme value decides."""
+    o = table(spark, d, "orders").select((F.col("o_totalprice") * 0.2).alias("price"))
+    return inequality_anti(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), o, "l_extendedprice < price").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_acctbal < s_acctbal - 10400 AND c_custkey >= s_suppkey")
+def join_full_inequality(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 10400).alias("bound"))
+    return inequality_full(table(spark, d, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal < bound", "c_custkey >= s_suppkey").select("c_custkey", "s_suppkey")

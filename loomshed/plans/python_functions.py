@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.two_phase import trimmed_means
 from ..sources import counter
 from ..sources.tables import table
 from . import query
@@ -144,3 +145,12 @@ def udtf_api(spark, d):
             yield self.key, self.n
 
     return Count(table(spark, d, "nation").asTable().partitionBy("n_regionkey"))
+
+
+@query("""
+    WITH cut AS (SELECT l_returnflag AS flag, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+    SELECT flag AS l_returnflag, max(n) AS n, round(avg(q) FILTER (WHERE k > floor(0.1 * n) AND k <= n - floor(0.1 * n)), 6) AS trimmed FROM cut GROUP BY flag
+""")
+def udaf_two_phase(spark, d):
+    """An aggregate that isn't built in, over three large groups: histograms by task, summed, finished from the histogram."""
+    return trimmed_means(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", 0.1, 1.0).withColumn("trimmed", F.round("trimmed", 6))

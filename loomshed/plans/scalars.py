@@ -109,12 +109,12 @@ def scalar_array_sets(spark, d):
 
 @query("""
     SELECT doc_id, len(list_distinct(list_concat(list_distinct(a), b))) AS n_union, len(list_intersect(a, b)) AS n_both, len(list_filter(a, lambda w: len(w) > 60)) = 0 AS short
-    FROM (SELECT doc_id, string_split(text, ' ')[1:60] AS a, string_split(text, ' ')[61:120] AS b FROM documents)
+    FROM (SELECT doc_id, w[1:len(w) // 2] AS a, w[len(w) // 2 + 1:] AS b FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
 """)
 def scalar_word_sets(spark, d):
-    """Set functions on the first words of real texts."""
-    words = F.split("text", " ")
-    t = table(spark, d, "documents").select("doc_id", F.slice(words, 1, 60).alias("a"), F.slice(words, 61, 60).alias("b"))
+    """Set functions on the words of a text's first and second half."""
+    t = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w")).withColumn("half", F.floor(F.size("w") / 2).cast("int"))
+    t = t.select("doc_id", F.slice("w", F.lit(1), F.col("half")).alias("a"), F.slice("w", F.col("half") + 1, F.size("w") - F.col("half")).alias("b"))
     return t.select("doc_id", F.size(F.array_union("a", "b")).cast("bigint").alias("n_union"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_both"), F.forall("a", lambda w: F.length(w) <= 60).alias("short"))
 
 

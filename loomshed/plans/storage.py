@@ -56,3 +56,23 @@ def bucketed_join(spark, d):
         table(spark, d, name).select(*columns).write.mode("overwrite").option("path", scratch(spark, f"bucketed-{name}")).bucketBy(8, key).sortBy(key).saveAsTable(f"loomshed_bucketed_{name}")
     o, c = spark.table("loomshed_bucketed_orders"), spark.table("loomshed_bucketed_customer")
     return o.join(c.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders JOIN (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 499000) ON s = o_orderstatus")
+def partition_pruning_by_join(spark, d):
+    """What the other side of a join finds out at run time decides which folders are read."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    path = write_files(o.repartition("o_orderstatus"), scratch(spark, "pruned"), partition_by=("o_orderstatus",))
+    facts = read_files(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double, o_orderstatus string")
+    wanted = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 499000").select(F.col("o_orderstatus").alias("s")).distinct()
+    return facts.join(F.broadcast(wanted), F.col("o_orderstatus") == F.col("s")).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS price, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 1000")
+def partition_overwrite(spark, d):
+    """A second write replaces just the folders that it has rows for."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
+    path = write_files(o.repartition("o_orderstatus"), scratch(spark, "replaced"), partition_by=("o_orderstatus",))
+    again = o.where("o_orderstatus = 'F' AND price > 1000").withColumn("price", -F.col("price")).repartition("o_orderstatus")
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("o_orderstatus").parquet(path)
+    return read_files(spark, path, "o_orderkey bigint, price double, o_orderstatus string")

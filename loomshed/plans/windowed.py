@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import counted_over_groups, over_groups, qualify, sum_of_others, top_per_group
+from ..operators.global_windows import framed, ranked, running
+from ..operators.windows import counted_over_groups, excluding, over_groups, qualify, sum_of_others, top_per_group
 from ..sources.tables import table
 from . import query
 
@@ -108,3 +109,58 @@ def window_ignore_nulls(spark, d):
 def window_over_aggregate(spark, d):
     days = table(spark, d, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
     return days.withColumn("running", F.sum("n").over(Window.partitionBy("user_id").orderBy("day")))
+
+
+_LINES = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+@query(f"SELECT {_LINES}, sum(l_quantity) OVER w AS total, max(l_extendedprice) OVER w AS dearest, count(*) OVER w AS n FROM lineitem WINDOW w AS (ORDER BY {_LINES} ROWS UNBOUNDED PRECEDING)")
+def window_running_total(spark, d):
+    """Running values over a whole table: parts by range, each with what stands before it."""
+    columns = _LINES.split(", ")
+    li = table(spark, d, "lineitem").select(*columns, "l_extendedprice")
+    return running(li, columns, {"total": ("sum", "l_quantity"), "dearest": ("max", "l_extendedprice"), "n": ("count", F.lit(1))}).drop("l_extendedprice")
+
+
+@query(f"SELECT l_returnflag, {_LINES}, sum(l_quantity) OVER w AS total, min(l_extendedprice) OVER w AS cheapest FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY {_LINES} ROWS UNBOUNDED PRECEDING)")
+def window_running_hot(spark, d):
+    """The same by a key of three values."""
+    columns = _LINES.split(", ")
+    li = table(spark, d, "lineitem").select("l_returnflag", *columns, "l_extendedprice")
+    return running(li, columns, {"total": ("sum", "l_quantity"), "cheapest": ("min", "l_extendedprice")}, ("l_returnflag",)).drop("l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, rank() OVER (ORDER BY l_shipdate) AS rk, dense_rank() OVER (ORDER BY l_shipdate) AS dr FROM lineitem")
+def window_global_rank(spark, d):
+    return ranked(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate"], "rk", "dr")
+
+
+@query(f"SELECT {_LINES}, round(avg(l_quantity) OVER w, 6) AS mean, max(l_extendedprice) OVER w AS dearest FROM lineitem WINDOW w AS (ORDER BY {_LINES} ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING)")
+def window_global_frame(spark, d):
+    """A frame of rows over a whole table: blocks of row numbers, each with the few rows of its neighbours that it needs."""
+    columns = _LINES.split(", ")
+    li = table(spark, d, "lineitem").select(*columns, "l_extendedprice")
+    return framed(li, columns, 5, 3, {"mean": F.avg("l_quantity"), "dearest": F.max("l_extendedprice")}, block=4096).drop("l_extendedprice").withColumn("mean", F.round("mean", 6))
+
+
+_FRAME = "OVER (PARTITION BY o_custkey ORDER BY {} ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING EXCLUDE {})"
+
+
+@query("SELECT o_orderkey, max(o_totalprice) {0} AS most, min(o_totalprice) {0} AS least, array_to_string(list(o_orderkey) {0}, ',') AS others FROM orders".format(_FRAME.format("o_orderdate, o_orderkey", "CURRENT ROW")))
+def window_exclude_any(spark, d):
+    """EXCLUDE CURRENT ROW for what can't be subtracted."""
+    found = excluding(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], 2, 4, "current row", {"most": ("max", "o_totalprice"), "least": ("min", "o_totalprice"), "others": ("list", "o_orderkey")})
+    return found.select("o_orderkey", "most", "least", F.when(F.size("others") > 0, F.array_join(F.transform("others", lambda x: x.cast("string")), ",")).alias("others"))
+
+
+@query("SELECT event_id, count(*) {0} AS n, max(cents) {0} AS most, sum(cents) {0} AS total FROM (SELECT *, round(value * 100)::BIGINT AS cents FROM events)".format("OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) ROWS BETWEEN 90 PRECEDING AND 90 FOLLOWING EXCLUDE GROUP)").replace("sum(cents)", "sum(cents)::DOUBLE").replace("sum(cents)::DOUBLE OVER", "sum(cents::DOUBLE) OVER"))
+def window_exclude_group(spark, d):
+    """EXCLUDE GROUP: a user's events of other days; the frame is wide enough to hold all of a user's."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "group", {"n": ("count", "event_id"), "most": ("max", "cents"), "total": ("sum", "cents")}).select("event_id", "n", "most", "total")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) ROWS BETWEEN 90 PRECEDING AND 90 FOLLOWING EXCLUDE TIES) AS n FROM events")
+def window_exclude_ties(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day"))
+    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "ties", {"n": ("count", "event_id")}).select("event_id", "n")

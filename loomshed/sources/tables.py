@@ -48,3 +48,8 @@ def round_trip(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return read_files(spark, write_files(df, scratch(spark, kind), kind), schema, kind)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its rows and their partitions stay as they are, and lost executors cost nothing of it."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_files(df, scratch(df.sparkSession, name)))
