@@ -1,13 +1,14 @@
 """Phrases whose words stand together more often than their parts do alone, with exact counts.
 
-The text is cut into shards, a few million words of one language each, and every shard has a trie of its own whose nodes
+The text is cut into shards, some million words of one language each, and every shard has a trie of its own whose nodes
 are phrases with their counts, by level: of one word, of two, and so on to the deepest. A level is serialised sorted, in one block for each
-prefix range: parents, each with its children's last words. What all shards have of a range meets in one group, where the sorted runs are
-merged. A phrase that all shards together hold often enough goes back to the shards that have it, with its total, and only such nodes
+prefix range: parents, each with its children. What all shards have of a range meets in one group, where the sorted runs are
+merged. A phrase that all shards together hold often enough gets a number, and goes back to the shards that have it; only such nodes
 get children: no phrase is more frequent than its parts, so nothing is missed, and what is shuffled doesn't grow with the rare phrases.
+From the second level on, numbers alone are shuffled.
 
-A node of d + 1 words is where two neighbouring nodes of d words overlap. The first is its parent, by which the walk down the trie gives the counts
-of all left parts; the other is its suffix link, which gives those of all right parts. They travel with the node.
+A node of d + 1 words is where two neighbouring nodes of d words overlap. The first is its parent, the other its suffix link. In the
+merged trie the walk down from parent to child gives the counts of all left parts, the suffix links give those of all right parts.
 Children of a parent that is a large part of all text are dealt out to as many ranges as its total calls for.
 """
 
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_text, prepare, slices, small
 
-#: Words of a shard, about.
-SHARD_WORDS = 1 << 21
+#: Words of the shards that a task has at once, about.
+SHARD_WORDS = 6 << 20
 #: Prefix ranges for each part that the input is read in, so that a range's size doesn't grow with the input.
 RANGES_A_PART = 4
 #: Occurrences of a parent for each range that its children are dealt out to.
@@ -40,7 +40,7 @@ GAP = -1
 #: Rows of a level: a shard's text as the numbers of its nodes, or a block of its trie.
 LEVEL = "is_text boolean, lang string, shard bigint, words bigint, state binary, range int, parents binary, block binary"
 #: Rows of what is merged: a phrase with its total, or what goes back to a shard.
-MERGED = "lang string, phrase string, a bigint, lefts array<bigint>, rights array<bigint>, shard bigint, block binary"
+MERGED = "lang string, id bigint, phrase string, parent bigint, link bigint, a bigint, shard bigint, block binary"
 
 
 class Words(dict):
@@ -69,7 +69,7 @@ def unpacked(block: bytes) -> pa.Table:
 
 def rows(kind: str, **columns: list) -> pa.RecordBatch:
     """Rows of LEVEL or MERGED; columns that aren't given are null."""
-    types = {"boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    types = {"boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields, size = [x.split(" ") for x in kind.split(", ")], len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(size, types[t]) for c, t in fields], names=[c for c, _ in fields])
 
@@ -80,27 +80,20 @@ def without_long_gaps(state: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Nodes:
-    """A level of a shard's trie, sorted: of each node its parent's number, its last word, its count, and the counts of its right parts."""
+    """A level of a shard's trie, sorted: of each node its parent (the first level has none), its suffix link or word, and its count."""
 
     parent: np.ndarray
-    last: pa.Array
+    link: pa.Array
     n: np.ndarray
-    rights: list[np.ndarray]
-    #: Of the parents: phrases, and counts of their left parts and of themselves.
-    phrases: pa.Array
-    lefts: list[np.ndarray]
 
     def blocks(self, ranges: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-        """range, its parents with their numbers of children, and its nodes."""
+        """range, its parents with their numbers of children, and its nodes, each by its distance from the one before."""
         order = np.argsort(ranges, kind="stable")
         starts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
         for k in np.split(order, starts[1:]) if order.size else []:
             firsts = np.flatnonzero(np.diff(self.parent[k], prepend=-1))
-            parents = self.parent[k[firsts]]
-            above = {"phrase": self.phrases.take(pa.array(parents)), "children": pa.array(np.diff(np.append(firsts, k.size)))}
-            above |= {f"l{i}": pa.array(x[parents]) for i, x in enumerate(self.lefts, 1)}
-            nodes = {"step": pa.array(np.diff(k, prepend=0).astype(np.int32)), "last": self.last.take(pa.array(k)), "n": pa.array(self.n[k])}
-            yield int(ranges[k[0]]), packed(above), packed(nodes | {f"r{i}": pa.array(x[k]) for i, x in enumerate(self.rights, 1)})
+            above = {"parent": pa.array(self.parent[k[firsts]]), "children": pa.array(np.diff(np.append(firsts, k.size)), pa.int32())}
+            yield int(ranges[k[0]]), packed(above), packed({"step": pa.array(np.diff(k, prepend=0), pa.int32()), "link": self.link.take(pa.array(k)), "n": pa.array(self.n[k])})
 
 
 def level_rows(lang: str, shard: int, state: np.ndarray, words: int | None, nodes: Nodes, ranges: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -110,18 +103,17 @@ def level_rows(lang: str, shard: int, state: np.ndarray, words: int | None, node
     yield rows(LEVEL, is_text=[False] * len(blocks), lang=[lang] * len(blocks), shard=[shard] * len(blocks), range=[b[0] for b in blocks], parents=[b[1] for b in blocks], block=[b[2] for b in blocks])
 
 
-def read_block(parents: bytes, block: bytes, d: int) -> dict[str, pa.Array]:
-    """node, phrase, n and the counts of its parts of each node of a block."""
-    above, nodes = unpacked(parents).combine_chunks(), unpacked(block).combine_chunks()
-    of = pa.array(np.repeat(np.arange(above.num_rows), above.column("children").to_numpy()))
-    column = lambda t, c: t.column(c).combine_chunks()
-    last = column(nodes, "last")
-    found = {"node": pa.array(np.cumsum(nodes.column("step").to_numpy()), pa.int64()), "phrase": last if d == 1 else pc.binary_join_element_wise(column(above, "phrase").take(of), last, b" "), "n": column(nodes, "n")}
-    return found | {f"l{k}": column(above, f"l{k}").take(of) for k in range(1, d)} | {f"r{k}": column(nodes, f"r{k}") for k in range(1, d)}
+def read_block(parents: bytes, block: bytes) -> pa.Table:
+    """node, parent, link, n of each node of a block."""
+    above, nodes = unpacked(parents), unpacked(block)
+    parent = np.repeat(above.column("parent").to_numpy(), above.column("children").to_numpy())
+    return pa.table({"node": np.cumsum(nodes.column("step").to_numpy(), dtype=np.int64), "parent": parent, "link": nodes.column("link"), "n": nodes.column("n")})
 
 
-def hashed(phrases: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, phrases), np.uint64, len(phrases))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of each number."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(8)
 
 
 def first_level(docs: DataFrame, ranges: int, shard_words: int) -> DataFrame:
@@ -138,8 +130,8 @@ def first_level(docs: DataFrame, ranges: int, shard_words: int) -> DataFrame:
                 place[order], place[-1] = np.arange(len(names)), GAP
                 state = place[np.concatenate(parts)]
                 n = np.bincount(state[state >= 0], minlength=len(names))
-                nodes = Nodes(np.zeros(len(names), np.int64), pa.array(names, pa.binary()), n.astype(np.int64), [], pa.array([b""], pa.binary()), [])
-                yield from level_rows(lang, (task << 32) + number + k, state, int(n.sum()), nodes, (hashed(names) % np.uint64(ranges)).astype(np.int64))
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+                yield from level_rows(lang, (task << 32) + number + k, state, int(n.sum()), Nodes(np.zeros(len(names), np.int64), pa.array(names, pa.binary()), n.astype(np.int64)), (h % np.uint64(ranges)).astype(np.int64))
 
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -156,45 +148,54 @@ def first_level(docs: DataFrame, ranges: int, shard_words: int) -> DataFrame:
 
 
 def merged(level: DataFrame, d: int, least: int, feeds: bool) -> DataFrame:
-    """Phrases of d words that all shards together have `least` times, and for each shard what it has of them."""
-    parts = [f"{side}{k}" for side in "lr" for k in range(1, d)]
+    """Phrases of d words that all shards together have `least` times, numbered in their range; and for each shard what it has of them."""
 
     def merge(blocks: pa.Table) -> pa.Table:
         blocks = blocks.sort_by("shard")
-        tables = [pa.table(read_block(a.as_py(), b.as_py(), d)) for a, b in zip(blocks.column("parents"), blocks.column("block"), strict=True)]
+        tables = [read_block(a.as_py(), b.as_py()) for a, b in zip(blocks.column("parents"), blocks.column("block"), strict=True)]
         table = pa.concat_tables(tables).combine_chunks()
-        phrase = np.array([*table.column("phrase").to_pylist(), None], object)[:-1]
-        order = np.argsort(phrase, kind="stable")  # the blocks are sorted runs, which it merges
-        ordered = phrase[order]
+        if d == 1:
+            key = np.array([*table.column("link").to_pylist(), None], object)[:-1]
+        else:
+            parents, parent = np.unique(table.column("parent").to_numpy(), return_inverse=True)
+            links, link = np.unique(table.column("link").to_numpy(), return_inverse=True)
+            key = parent * links.size + link
+        order = np.argsort(key, kind="stable")  # the blocks are sorted runs, which it merges
+        ordered = key[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         totals = np.add.reduceat(table.column("n").to_numpy()[order], starts)
         found = np.flatnonzero(totals >= least)
         first = table.take(pa.array(order[starts[found]]))
-        lists = [[list(x) for x in zip(*(first.column(c).to_pylist() for c in parts if c[0] == side), strict=True)] if d > 1 else [[]] * found.size for side in "lr"]
-        out = [rows(MERGED, lang=[blocks.column("lang")[0].as_py()] * found.size, phrase=[p.decode() for p in first.column("phrase").to_pylist()], a=totals[found], lefts=lists[0], rights=lists[1])]
+        ids = (blocks.column("range")[0].as_py() << 32) + np.arange(found.size)
+        named = {"phrase": [w.decode() for w in first.column("link").to_pylist()]} if d == 1 else {"parent": first.column("parent").to_numpy(), "link": first.column("link").to_numpy()}
+        out = [rows(MERGED, lang=[blocks.column("lang")[0].as_py()] * found.size, id=ids, a=totals[found], **named)]
         if feeds:
-            total = np.zeros(order.size, np.int64)
-            total[order] = np.repeat(totals, np.diff(np.append(starts, order.size)))
-            bounds = np.cumsum([0, *(t.num_rows for t in tables)])
-            table = table.append_column("total", pa.array(total))
-            back = [(s, np.flatnonzero(total[i:j] >= least) + i) for s, i, j in zip(blocks.column("shard").to_pylist(), bounds, bounds[1:], strict=False)]
-            back = [(s, table.take(pa.array(k))) for s, k in back if k.size]
+            number = np.full(totals.size, GAP)
+            number[found] = np.arange(found.size)
+            of = np.empty(order.size, np.int64)
+            of[order] = np.repeat(number, np.diff(np.append(starts, order.size)))
+            node, back, at = table.column("node").to_numpy(), [], 0
+            for shard, t in zip(blocks.column("shard").to_pylist(), tables, strict=True):
+                k = np.flatnonzero(of[at : at + t.num_rows] >= 0) + at
+                at += t.num_rows
+                if k.size:
+                    back.append((shard, packed({"node": pa.array(node[k]), "id": pa.array(ids[of[k]]), "total": pa.array(totals[found][of[k]])})))
             if back:
-                out.append(rows(MERGED, shard=[s for s, _ in back], block=[packed({c: t.column(c).combine_chunks() for c in ("node", "phrase", "total", *parts)}) for _, t in back]))
+                out.append(rows(MERGED, shard=[s for s, _ in back], block=[b for _, b in back]))
         return pa.Table.from_batches(out)
 
     return level.where("not is_text").select("lang", "range", "shard", "parents", "block").groupBy("lang", "range").applyInArrow(merge, MERGED)
 
 
-def next_level(level: DataFrame, back: DataFrame, d: int, ranges: int) -> DataFrame:
-    """Every shard's nodes of d + 1 words, from its text in nodes of d words and what came back of those."""
+def next_level(level: DataFrame, back: DataFrame, ranges: int) -> DataFrame:
+    """Every shard's nodes of one word more, from its text in nodes and what came back of those."""
 
     def grow(text: pa.Table, back: pa.Table) -> pa.Table:
         if not (text.num_rows and back.num_rows):
             return pa.Table.from_batches([rows(LEVEL, shard=[])])
-        known = pa.concat_tables([unpacked(b.as_py()) for b in back.column("block")]).combine_chunks()
-        known = known.take(pc.sort_indices(known.column("phrase")))
-        state, node = np.frombuffer(zstandard.decompress(text.column("state")[0].as_py()), np.int32).astype(np.int64), known.column("node").to_numpy()
+        known = pa.concat_tables([unpacked(b.as_py()) for b in back.column("block")]).sort_by("id")
+        ids, totals, node = (known.column(c).to_numpy() for c in ("id", "total", "node"))
+        state = np.frombuffer(zstandard.decompress(text.column("state")[0].as_py()), np.int32)
         place = np.full(max(int(state.max(initial=0)), int(node.max())) + 2, GAP)  # the last stands for gaps
         place[node] = np.arange(node.size)
         here = place[state]
@@ -203,37 +204,42 @@ def next_level(level: DataFrame, back: DataFrame, d: int, ranges: int) -> DataFr
         parent, link = key // node.size, key % node.size
         state = np.full(here.size, GAP)
         state[at] = inverse
-        phrase, totals = known.column("phrase").combine_chunks(), known.column("total").to_numpy()
-        last = pa.array([p.rsplit(b" ", 1)[-1] for p in phrase.to_pylist()], pa.binary())
-        column = lambda c: known.column(c).to_numpy()
-        lefts, rights = [*(column(f"l{k}") for k in range(1, d)), totals], [totals, *(column(f"r{k}") for k in range(1, d))]
-        nodes = Nodes(parent, last.take(pa.array(link)), n.astype(np.int64), [x[link] for x in rights], phrase, lefts)
-        h = hashed(phrase.to_pylist())
+        h = mixed(ids)
         dealt = h[parent] + h[link] % (1 + totals[parent] // SPLIT).astype(np.uint64)
+        nodes = Nodes(ids[parent], pa.array(ids[link]), n.astype(np.int64))
         return pa.Table.from_batches(list(level_rows(text.column("lang")[0].as_py(), text.column("shard")[0].as_py(), state, None, nodes, (dealt % np.uint64(ranges)).astype(np.int64))))
 
     texts = level.where("is_text").select("lang", "shard", "state")
     return texts.groupBy("shard").cogroup(back.where("block is not null").select("shard", "block").groupBy("shard")).applyInArrow(grow, LEVEL)
 
 
+def walked(found: DataFrame, above: DataFrame) -> DataFrame:
+    """Nodes of the merged trie with their phrases and the counts of their parts, from those of the level above: by the walk from the parent, and by the suffix link."""
+    parents = above.select("lang", F.col("id").alias("parent"), F.col("phrase").alias("p"), F.concat("lefts", F.array("a")).alias("lefts"))
+    links = above.select("lang", F.col("id").alias("link"), F.substring_index("phrase", " ", -1).alias("last"), F.concat(F.array("a"), "rights").alias("rights"))
+    joined = found.join(parents, ["lang", "parent"]).join(links, ["lang", "link"])
+    return joined.select("lang", "id", F.concat_ws(" ", "p", "last").alias("phrase"), "a", "lefts", "rights")
+
+
 def phrases_of(docs: DataFrame, longest: int, least: int, work: Scratch, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, d, a, lefts, rights of all phrases of 2 to `longest` words that occur `least` times; and lang, n: all words."""
     prepare(docs.sparkSession)
     ranges = max(RANGES_A_PART * docs.rdd.getNumPartitions(), 1)
     level = work.save(first_level(docs, ranges, shard_words), "level1")
     words = work.save(level.where("is_text").groupBy("lang").agg(F.sum("words").alias("n")), "words")
-    found = []
+    none, whole = F.array().cast("array<bigint>"), None
     for d in range(1, longest + 1):
         back = work.save(merged(level, d, least, d < longest), f"merged{d}")
+        found = back.where("id is not null")
+        nodes = found.select("lang", "id", "phrase", "a", none.alias("lefts"), none.alias("rights")) if d == 1 else walked(found.drop("phrase"), nodes)
+        nodes = work.save(nodes, f"nodes{d}")
         if d > 1:
-            found.append(back.where("phrase is not null").select("lang", "phrase", F.lit(d).alias("d"), "a", "lefts", "rights"))
+            of_d = nodes.select("lang", "phrase", F.lit(d).alias("d"), "a", "lefts", "rights")
+            whole = of_d if whole is None else whole.unionByName(of_d)
         if d < longest:
-            level = work.save(next_level(level, back, d, ranges), f"level{d + 1}")
-            work.drop(f"level{d}")
-    work.drop(f"level{longest}")
-    whole = found[0]
-    for x in found[1:]:
-        whole = whole.unionByName(x)
+            level = work.save(next_level(level, back, ranges), f"level{d + 1}")
+        work.drop(f"level{d}", f"merged{d}")
+        work.release()
     return whole, words
 
 
