@@ -11,8 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.two_phase import trimmed_means
-from ..sources import counter
-from ..sources.tables import table
+from ..sources import ledger
+from ..sources.tables import scratch, table
 from . import query
 
 
@@ -112,10 +112,14 @@ def udf_sql(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr("loomshed_net(l_extendedprice, l_discount)").alias("net"))
 
 
-@query("SELECT range * 3 AS n, range * range * 9 AS square FROM range(40)")
+@query("SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click' AND value >= 5")
 def python_source(spark, d):
-    counter.register(spark)
-    return spark.read.format("counter").options(rows=40, step=3, partitions=4).load()
+    """The events through a source in Python: written under a ledger, committed as a whole, read by file with the filters pushed into the files."""
+    ledger.register(spark)
+    e, path = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value"), scratch(spark, "ledger")
+    e.write.format("ledger").mode("append").save(path)
+    back = spark.read.format("ledger").option("schema", "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double").load(path)
+    return back.where("event_type = 'click' AND value >= 5").select("event_id", "user_id", "ts", "value")
 
 
 @query("SELECT o_orderkey, round(max(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS below FROM orders")

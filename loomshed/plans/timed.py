@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.sessions import sessions
-from ..sources.tables import table
-from ..streaming.replay import collected, event_stream, replayed
+from ..sources.tables import scratch, table
+from ..streaming.replay import collected, event_stream, filed, replayed, restarted
 from . import query
 
 
@@ -162,3 +162,41 @@ def stream_late(spark, d):
     parts = [on_time, e.where(F.col("ts") == end), e.where(F.col("ts") == end), late, e.where(F.col("ts") == end)]
     w = replayed(spark, [p.select("event_id", "ts") for p in parts]).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return collected(w, "append").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""
+    SELECT start, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1)
+    WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+""")
+def stream_restart(spark, d):
+    """The driver is lost in two batches, each written but not committed; state and offsets come from the checkpoint, and no window is counted twice."""
+    twice = event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+    w = twice.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return restarted(w, "append", (1, 2))[0].select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_id, event_type FROM events WHERE value > 10")
+def stream_file_sink(spark, d):
+    """Spark's file sink, started again from its checkpoint: each row once."""
+    return filed(event_stream(spark, d).where("value > 10").select("event_id", "event_type"), runs=2)
+
+
+@query("SELECT user_id, first, last, n FROM (" + _SESSIONS.format(">=") + ") WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_session_timers(spark, d):
+    """Sessions by a state processor: map state for those that are open, timers in event time that close them."""
+    from ..streaming.timers import timed_sessions
+
+    found = collected(timed_sessions(event_stream(spark, d)), "append")
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")), "n")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def stream_python_source(spark, d):
+    """A stream out of a source in Python whose offsets are its ledger's entries."""
+    from ..sources import ledger
+
+    ledger.register(spark)
+    e, path = table(spark, d, "events").select("event_id", "user_id", "value"), scratch(spark, "ledger")
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).write.format("ledger").mode("append").save(path)
+    return collected(spark.readStream.format("ledger").option("schema", "event_id bigint, user_id bigint, value double").load(path), "append")

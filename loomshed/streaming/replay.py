@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -43,3 +44,45 @@ def collected(stream: DataFrame, mode: str, **options: str) -> DataFrame:
     run.awaitTermination()
     rows = spark.read.schema(whole).parquet(path)
     return (rows.where(rows.batch == last[0]) if mode == "complete" else rows).drop("batch")
+
+
+class Stopped(RuntimeError):
+    """What stands for the loss of the driver in the middle of a batch."""
+
+
+def restarted(stream: DataFrame, mode: str, stops: tuple[int, ...]) -> tuple[DataFrame, list[int]]:
+    """What the stream puts out if it is lost in each batch of `stops`, after the batch's rows are written and before the batch is committed, and is
+    started again from the same checkpoint; and the batches in the order in which they were written.
+
+    The batch that was lost is run again from the offsets and the state that the checkpoint holds, and overwrites its own folder.
+    """
+    spark, path, progress = stream.sparkSession, scratch(stream.sparkSession, "batches"), scratch(stream.sparkSession, "progress")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    written, left = [], list(stops)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        written.append(number)
+        if number in left:
+            left.remove(number)
+            raise Stopped(number)
+
+    while True:
+        before = len(left)
+        run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+            break
+        except StreamingQueryException:
+            if len(left) == before:  # another error than ours
+                raise
+    whole = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(whole).parquet(path).drop("batch"), written
+
+
+def filed(stream: DataFrame, runs: int = 1) -> DataFrame:
+    """The stream's rows through Spark's own file sink, whose log names each batch's files once; started `runs` times from one checkpoint."""
+    path, progress = scratch(stream.sparkSession, "filed"), scratch(stream.sparkSession, "progress")
+    for _ in range(runs):
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -1,13 +1,17 @@
-"""Late rows: what the watermark drops and what it lets in."""
+"""Late rows, lost batches, timers, and the source in Python."""
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from loomshed.sources import ledger
 from loomshed.sources.tables import scratch
-from loomshed.streaming.replay import collected
+from loomshed.streaming.replay import collected, filed, restarted
+from loomshed.streaming.timers import timed_sessions
 
 
 def test_late_rows_are_dropped(spark):
@@ -20,3 +24,60 @@ def test_late_rows_are_dropped(spark):
     got = {(r.window.start - t) // timedelta(hours=1): r.n for r in counts.collect()}
     # a batch is held against the watermark of the one before: row 4 is two hours late, row 5's window is open yet
     assert got == {0: 2, 1: 1, 2: 2}
+
+
+def parts(spark, batches):
+    t, path = datetime(2024, 1, 1), scratch(spark, "parts")
+    for rows in batches:
+        spark.createDataFrame([(i, u, t + timedelta(minutes=m)) for i, u, m in rows], "id int, user_id bigint, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    return t, spark.readStream.schema("id int, user_id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_lost_batches_are_run_again(spark):
+    """State, offsets and rows are those of an unbroken run; a lost batch is written again under its number."""
+    batches = [[(1, 1, 0), (2, 1, 5)], [(3, 1, 70), (1, 1, 0)], [(4, 2, 75)], [(5, 2, 300)], [(6, 2, 301)]]
+    made = lambda s: s.withWatermark("ts", "30 minutes").groupBy(F.window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(collected(made(parts(spark, batches)[1]), "append"))
+    got, order = restarted(made(parts(spark, batches)[1]), "append", (0, 2, 4))
+    assert rows(got) == whole and len(whole) == 3
+    assert order == [0, 0, 1, 2, 2, 3, 4, 4, *order[8:]] and order[8:] in ([], [5])
+    assert restarted(made(parts(spark, batches)[1]), "append", ())[1] == sorted(set(order))
+
+
+def test_own_errors_are_not_taken_for_losses(spark):
+    stream = parts(spark, [[(1, 1, 0)]])[1].withColumn("bad", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(StreamingQueryException):
+        restarted(stream, "append", (0,))
+
+
+def test_sessions_closed_by_timers(spark):
+    """Rows out of order that lengthen, join and open sessions; what is late or still open isn't put out."""
+    t, stream = parts(spark, [[(1, 1, 0), (2, 1, 50), (3, 2, 10)], [(4, 1, 25), (5, 1, 51)], [(6, 1, 200), (7, 2, 36)], [(9, 3, 230)], [(8, 1, 1)], [(10, 1, 400)]])
+    rows = collected(timed_sessions(stream, 30, "60 minutes"), "append").collect()
+    got = sorted((r.user_id, (r.first - t).total_seconds() / 60, (r["last"] - t).total_seconds() / 60, r.n) for r in rows)
+    # user 1: 0, 25, 50, 51 are joined by the row that came later; row 8 is late; 200 is closed by 400, as is user 3's
+    assert got == [(1, 0, 51, 4), (1, 200, 200, 1), (2, 10, 36, 2), (3, 230, 230, 1)]
+
+
+def test_ledger(spark):
+    """Nothing of a failed write is read; nulls, empty tables, several writes, filters and a stream that goes on where it was."""
+    ledger.register(spark)
+    path, schema = scratch(spark, "ledger"), "id int, name string, at timestamp_ntz"
+    rows = [(k, None if k % 3 == 0 else f"n{k}", datetime(2024, 1, 1) + timedelta(hours=k)) for k in range(20)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    read = lambda: spark.read.format("ledger").option("schema", schema).load(path)
+    df.write.format("ledger").mode("append").save(path)
+    assert sorted(map(str, read().collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception, match="broken"):
+        df.withColumn("id", F.when(F.col("id") == 19, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("id"))).write.format("ledger").mode("append").save(path)
+    assert read().count() == 20
+    df.limit(0).write.format("ledger").mode("append").save(path)
+    df.where("id < 5").write.format("ledger").mode("append").save(path)
+    assert read().count() == 25 and read().where("id >= 18 or name is null").count() == 10
+    assert [r.id for r in read().where("id > 17 and name = 'n19'").collect()] == [19] and read().where("id in (1, 2)").select("name").count() == 4
+    stream = spark.readStream.format("ledger").option("schema", schema).load(path)
+    assert collected(stream, "append").count() == 25
+    assert filed(stream, runs=3).count() == 25
+    with pytest.raises(Exception, match="added to"):
+        df.write.format("ledger").mode("overwrite").save(path)
