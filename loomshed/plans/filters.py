@@ -83,6 +83,15 @@ def recursive_hops(spark, d):
     return hops(both, seeds)
 
 
+_CHAIN = "WITH RECURSIVE chain(k, hops) AS (SELECT c_custkey, 0 FROM {0} WHERE c_custkey < 25 UNION ALL SELECT 2 * c_custkey + 1, hops + 1 FROM chain JOIN {0} ON c_custkey = k WHERE hops < 12) SELECT k, hops FROM chain"
+
+
+@query(_CHAIN.format("customer"))
+def recursive_cte(spark, d):
+    """Spark's own recursion in SQL, over a table: keys that double as long as there is a customer of that key."""
+    return spark.sql(_CHAIN.format("{customer}"), customer=table(spark, d, "customer"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type")
 def pipe_syntax(spark, d):
     return spark.sql("FROM {events} |> WHERE value > 10 |> AGGREGATE count(*) AS n GROUP BY event_type", events=table(spark, d, "events"))

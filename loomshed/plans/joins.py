@@ -129,7 +129,7 @@ def asof_backward(spark, d):
 @query(f"SELECT a.event_id, b.event_id AS right_event_id FROM {_SIDES.format('ASOF LEFT')} ON a.user_id = b.user_id AND a.ts <= b.ts")
 def asof_forward(spark, d):
     a, b = _clicks_and_views(spark, d)
-    return asof_join(a, b, "user_id", "ts", "forward").select("event_id", "right_event_id")
+    return asof_join(a, b, "user_id", "ts", "forward", bucket="5 days").select("event_id", "right_event_id")
 
 
 @query(f"""
@@ -145,7 +145,7 @@ def asof_nearest(spark, d):
 @query(f"SELECT a.event_id, CASE WHEN b.ts >= a.ts - INTERVAL 2 HOUR THEN b.event_id END AS right_event_id FROM {_SIDES.format('ASOF LEFT')} ON a.user_id = b.user_id AND a.ts >= b.ts")
 def asof_tolerance(spark, d):
     a, b = _clicks_and_views(spark, d)
-    return asof_join(a, b, "user_id", "ts", tolerance="2 hours").select("event_id", "right_event_id")
+    return asof_join(a, b, "user_id", "ts", tolerance="2 hours", bucket="5 days").select("event_id", "right_event_id")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
@@ -165,7 +165,7 @@ def join_shuffle_hash_hint(spark, d):
 def join_salted(spark, d):
     """A hot key's rows dealt to several tasks."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    j = salted_join(table(spark, d, "lineitem").select("l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber"), s, "l_suppkey", 4).groupBy("l_linestatus", "s_nationkey").agg(F.count("*").alias("n"))
+    j = salted_join(table(spark, d, "lineitem").select("l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber"), s, "l_suppkey", 4, unique=("l_orderkey", "l_linenumber")).groupBy("l_linestatus", "s_nationkey").agg(F.count("*").alias("n"))
     return j.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("l_linestatus", "n_name", "n")
 
 

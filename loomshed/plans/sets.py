@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
 from . import query
 
@@ -59,11 +61,18 @@ def set_distinct(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderstatus").distinct()
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v)")
+@query("SELECT v, count(*) AS n FROM orders JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('X', NULL)) t(k, v) ON o_orderstatus = k GROUP BY v")
 def values_rows(spark, d):
-    return spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) t(k, v)")
+    """Literal rows beside a table."""
+    named = spark.sql("SELECT * FROM VALUES ('F', 'finished'), ('O', 'open'), ('X', NULL) t(k, v)")
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).join(named, F.col("o_orderstatus") == F.col("k")).groupBy("v").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT range AS id FROM range(100)")
+@query("""
+    SELECT r.range AS doc_id, count(l.doc_id) AS labelled FROM range((SELECT max(doc_id) + 1 FROM documents)) r LEFT JOIN labels l ON l.doc_id = r.range GROUP BY r.range
+""")
 def range_rows(spark, d):
-    return spark.range(100)
+    """All numbers up to the table's greatest, made in tasks, beside those that another table has."""
+    last = table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
+    ids = spark.range(0 if last is None else last + 1)
+    return ids.join(table(spark, d, "labels").select("doc_id"), F.col("id") == F.col("doc_id"), "left").groupBy("id").agg(F.count("doc_id").alias("labelled")).withColumnRenamed("id", "doc_id")

@@ -135,3 +135,19 @@ def test_counts_over_groups_and_ranges(spark):
     assert pairs(counted_over_groups(df, "k", "t", 1, 0, "n")) == pairs(plain)
     ranged = df.withColumn("n", F.count("*").over(Window.partitionBy("k").orderBy("t").rangeBetween(-1, 0)))
     assert pairs(counted_over_groups(df, "k", "t", 1, 0, "n", by_value=True)) == pairs(ranged)
+
+
+def test_asof_of_ordinary_keys_and_none(spark):
+    """Keys below the share stay where they are, beside one that is dealt out; left rows without a key pass."""
+    left = times(spark, [(k, f"k{k % 150}" if k % 3 else "hot", at(k * 7 % 200)) for k in range(450)] + [(900 + k, None, at(k)) for k in range(5)])
+    right = times(spark, [(1000 + k, f"k{k % 150}" if k % 2 else "hot", at(k * 37 % 190)) for k in range(400)] + [(1900, None, at(0))])
+    for direction in ("backward", "forward", "nearest"):
+        got = [sorted(map(str, asof_join(left, right, "k", "ts", direction, tie="id", bucket=b).collect())) for b in (None, "20 minutes")]
+        assert got[0] == got[1] and len(got[0]) == 455 and sum("k=None" in x and "right_id=None" in x for x in got[0]) == 5
+
+
+def test_salts_by_a_unique_key_come_again(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"))
+    other = df.groupBy("k").agg(F.count("*").alias("n"))
+    rows = [sorted(map(tuple, salted_join(df.repartition(p), other, "k", 5, unique=("id",)).collect())) for p in (1, 7)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4000
