@@ -143,7 +143,7 @@ def test_asof_of_ordinary_keys_and_none(spark):
     right = times(spark, [(1000 + k, f"k{k % 150}" if k % 2 else "hot", at(k * 37 % 190)) for k in range(400)] + [(1900, None, at(0))])
     for direction in ("backward", "forward", "nearest"):
         got = [sorted(map(str, asof_join(left, right, "k", "ts", direction, tie="id", bucket=b).collect())) for b in (None, "20 minutes")]
-        assert got[0] == got[1] and len(got[0]) == 455 and sum("k=None" in x and "right_id=None" in x for x in got[0]) == 5
+        assert got[0] == got[1] and len(got[0]) == 455 and sum(", k=None" in x and "right_id=None" in x for x in got[0]) == 5
 
 
 def test_salts_by_a_unique_key_come_again(spark):
