@@ -150,13 +150,13 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     buckets = work.save(alive.join(centres, "key"), "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, whether their full sets are similar enough, and how many shingles both have."""
+        """a, b, whether their full sets are similar enough, and how many shingles both have. Each b brings its set along to where that of its a is: a centre's is one row, however many members it has."""
         side = lambda k: hashes.select(F.col("row").alias(k), F.col("h").alias(f"h_{k}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.size(F.array_intersect("h_a", "h_b")).cast("bigint").alias("both"), (F.size("h_a") + F.size("h_b")).alias("sizes"))
         return work.save(met.select("a", "b", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("ok"), "both"), name)
 
     c = F.col("centre")
-    stars = buckets.where((c["row"] != F.col("row")) & may_link(c["n"], F.col("n"), c["n"] - c["own"], F.col("n") - F.col("own"), percent)).select(F.least("row", c["row"]).alias("a"), F.greatest("row", c["row"]).alias("b")).distinct()
+    stars = buckets.where((c["row"] != F.col("row")) & may_link(c["n"], F.col("n"), c["n"] - c["own"], F.col("n") - F.col("own"), percent)).select(c["row"].alias("a"), F.col("row").alias("b")).distinct()
     stars = confirmed(work.save(stars, "stars"), "star_links")
     links = stars.where("ok").select("a", "b")
     groups = connected_components(links, work, "first")
@@ -170,7 +170,7 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     # What two members share is in the centre or outside it. Inside they share no more than either shares with the
     # centre; outside no more than either has there, without what it has alone (which the centre can't have).
     overlap = stars.select("a", "b", "both")
-    marked = marked.withColumn("a", F.least("row", c["row"])).withColumn("b", F.greatest("row", c["row"])).join(overlap, ["a", "b"], "left")
+    marked = marked.withColumn("a", c["row"]).withColumn("b", F.col("row")).join(overlap, ["a", "b"], "left")
     shared = F.col("n") - F.col("own")
     inside = F.when(F.col("row") == c["row"], F.col("n")).otherwise(F.coalesce("both", shared))
     outside = F.when(F.col("row") == c["row"], F.lit(0)).otherwise(shared - F.coalesce("both", F.lit(0)))
@@ -180,7 +180,7 @@ def near_duplicates(rows: DataFrame, size: int = 5, percent: int = 80, sketch: S
     overlap = F.least("x.shared", "y.shared", F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"))
     possible = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
     open_pairs = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.largest") == F.col("y.largest")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))) & possible
-    rest = x.join(y, open_pairs).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = x.join(y, open_pairs).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = confirmed(work.save(rest, "rest"), "rest_links")
     final = connected_components(links.union(rest.where("ok").select("a", "b")), work, "final")
 
