@@ -54,14 +54,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
 
     place = lambda p: F.lit(float(p)) * (F.col("__n") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(*(f(place(p)).cast("bigint") for f in (F.floor, F.ceil))) for p in wanted.values()))))
-    targets = written(hot.select("__id", F.explode(ranks).alias("__rank"), "__lo", "__hi", F.lit(0).cast("bigint").alias("__below"), F.col("__n").alias("__left")), "targets")
+    targets = hot.select("__id", F.explode(ranks).alias("__rank"), "__lo", "__hi", F.lit(0).cast("bigint").alias("__below"), F.col("__n").alias("__left"))
     values = rows.where("__v is not null").join(keyed, same).select("__id", "__lo", "__hi", "__v")
     by_size = False
     while targets.where((F.col("__left") > large) & (F.col("__lo") < F.col("__hi"))).count():
         counted = values.withColumn("__b", _bucket(buckets, by_size)).groupBy("__id", "__lo", "__hi", "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__a"), F.max("__v").alias("__z"))
         # as many rows as buckets for each rank
         upto = Window.partitionBy("__id", "__rank").orderBy("__b")
-        ends = targets.join(written(counted, "counted"), ["__id", "__lo", "__hi"]).withColumn("__end", F.col("__below") + F.sum("__c").over(upto))
+        ends = targets.join(counted, ["__id", "__lo", "__hi"]).withColumn("__end", F.col("__below") + F.sum("__c").over(upto))
         held = written(ends.where((F.col("__rank") < F.col("__end")) & (F.col("__rank") >= F.col("__end") - F.col("__c"))), "held")
         steps = held.select("__id", "__lo", "__hi", "__b", "__a", "__z").distinct()
         values = values.withColumn("__b", _bucket(buckets, by_size)).join(_sent(steps, 2 * n_hot * len(wanted)), ["__id", "__lo", "__hi", "__b"])
