@@ -82,7 +82,7 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: flo
 
 
 def class_moments(stats: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class over all labelled rows: each task sends its own sums, Spark adds them up."""
+    """Per class over all labelled rows: each task sends its own sums, Spark adds them up. As decimals, so that reruns agree to the last bit in whatever order tasks end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -95,7 +95,7 @@ def class_moments(stats: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
         for k, m in sums.items():
             yield pa.RecordBatch.from_pydict({"label": np.full(m.size, k, np.int32), "cell": np.arange(m.size, dtype=np.int32), "value": m.ravel()})
 
-    cells = stats.mapInArrow(run, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value")).collect()
+    cells = stats.mapInArrow(run, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum(F.col("value").cast("decimal(38,12)")).cast("double").alias("value")).collect()
     out = {}
     for k in {r.label for r in cells}:
         own = sorted((r.cell, r.value) for r in cells if r.label == k)

@@ -17,6 +17,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -56,7 +57,7 @@ def record(kind: str, block: bytes, date: str, **fields: str | None) -> bytes:
 def page_record(page_id: str | None, url: str | None, payload: bytes, digest: str, first: str | None, date: str) -> bytes:
     """A response, or the revisit of what page `first` holds: then the block ends with the HTTP header."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = {"WARC_Record_ID": record_id(page_id, digest), "WARC_Target_URI": url and one_line(url), "WARC_Payload_Digest": f"sha256:{digest}", "Content_Type": "application/http; msgtype=response", "Page_ID": page_id}
+    fields = {"WARC_Record_ID": record_id(page_id, digest), "WARC_Target_URI": url and one_line(url), "WARC_Payload_Digest": f"sha256:{digest}", "Content_Type": "application/http; msgtype=response", "Page_ID": page_id and quote(page_id, safe="")}
     if first is None:
         return record("response", http + payload, date, **fields)
     return record("revisit", http, date, **fields, WARC_Profile=REVISIT, WARC_Refers_To=record_id(first, digest))
@@ -173,6 +174,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{path}: {fields['WARC-Record-ID']} differs from its digest")
                     head = [fields.get(k) for k in ("WARC-Record-ID", "WARC-Type", "Page-ID", "WARC-Target-URI", "WARC-Date")]
+                    head[2] = head[2] and unquote(head[2])
                     rows.append([path, *head, digest, None if payload is None else len(payload), fields.get("WARC-Refers-To"), payload if payloads else None])
                     size += len(payload or b"") if payloads else 0
                     if size > 8 << 20 or len(rows) >= 10_000:

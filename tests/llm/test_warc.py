@@ -111,6 +111,15 @@ def test_headers_hold_one_line():
     assert fields["WARC-Target-URI"] == "http://é/%0A" and fields["WARC-Type"] == "revisit" and block.endswith(b"\r\n\r\n") and "Content-Length: 5" in block.decode()
 
 
+def test_ids_of_any_text(spark):
+    """An identifier may hold what would end a header's line."""
+    ids = ["a\r\nWARC-Type: x", "é %0A", "-5", "", None]
+    df = spark.createDataFrame([(i, None, prose(k, 40)) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    _, folder = written(df)
+    got = read_archives(spark, folder).collect()
+    assert sorted(r.page_id or "" for r in got) == sorted(i or "" for i in ids) and {r.url for r in got} == {None} and {r.record_type for r in got} == {"response"}
+
+
 def test_empty_table(spark):
     work, folder = written(pages(spark, ["x"]).limit(0))
     assert resolved(read_archives(spark, folder), work).count() == 0
