@@ -108,8 +108,8 @@ def marked(left: DataFrame, right: DataFrame, conditions: tuple[str, ...], name:
     first = tests[0]
     if len(tests) == 1:
         # the right side's extreme value answers for all of it
-        best = right.agg((F.min if first.turned else F.max)(number(right, first.right)).alias("__best"))
-        return left.join(F.broadcast(best)).withColumn(name, F.coalesce(first.holds(number(left, first.left), F.col("__best")), F.lit(False))).drop("__best")
+        best = right.agg((F.min if first.turned else F.max)(number(right, first.right))).scalar()
+        return left.withColumn(name, F.coalesce(first.holds(number(left, first.left), best), F.lit(False)))
     second = tests[1]
     x, y = number(left, first.left), number(right, first.right)
     # in an order in which all right rows that meet the first condition come before a left row

@@ -101,5 +101,5 @@ def test_plans(spark):
     plan = lambda n: plans.QUERIES[n](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     plans.load()
     assert "dynamicpruning" in plan("partition_pruning_by_join")
-    assert "NestedLoop" not in plan("join_inequality") + plan("join_semi_inequality") + plan("join_interval")
+    assert "NestedLoop" not in plan("join_inequality") + plan("join_semi_inequality") + plan("join_anti_one_inequality") + plan("join_interval")
     assert "SinglePartition" not in plan("window_running_total") + plan("window_global_frame") + plan("window_global_rank")
