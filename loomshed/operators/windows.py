@@ -42,16 +42,17 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return qualify(df, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= n)
 
 
-def excluding(df: DataFrame, partition: list[str], order: list[str], before: int, after: int, exclude: str, values: dict[str, tuple[str, str]]) -> DataFrame:
+def excluding(df: DataFrame, partition: list[str], order: list[str], before: int, after: int, exclude: str, values: dict[str, tuple[str, str]], ties: tuple[Column, ...] = ()) -> DataFrame:
     """df with aggregates over ROWS BETWEEN before PRECEDING AND after FOLLOWING EXCLUDE current row, group or ties.
 
     values: name -> (kind, column), kinds max, min, sum, count and list (in frame order). A frame of which nothing is left gives null, a count 0, a list [].
-    The frame's rows, before + after + 1 at most, are gathered for each row; peers are those equal in `order`.
+    The frame's rows, before + after + 1 at most, are gathered for each row; peers are those equal in `order`. Which of
+    them a frame's edge cuts off is open unless `ties` orders them: with a unique key there, reruns agree.
     """
     if exclude not in ("current row", "group", "ties"):
         raise ValueError(f"no EXCLUDE {exclude!r}")
-    w = Window.partitionBy(*partition).orderBy(*order)
-    rows = df.withColumns({"__rn": F.row_number().over(w), "__peers": F.rank().over(w)})
+    peers, w = (Window.partitionBy(*partition).orderBy(*order, *by) for by in ((), ties))
+    rows = df.withColumns({"__rn": F.row_number().over(w), "__peers": F.rank().over(peers)})
     frame = F.collect_list(F.struct(F.col("__rn").alias("at"), F.col("__peers").alias("peers"), *(F.col(c).alias(f"v{k}") for k, (_, c) in enumerate(values.values())))).over(w.rowsBetween(-before, after))
     gone = {"current row": lambda x: x["at"] == F.col("__rn"), "group": lambda x: x["peers"] == F.col("__peers"), "ties": lambda x: (x["peers"] == F.col("__peers")) & (x["at"] != F.col("__rn"))}[exclude]
     rows = rows.withColumn("__frame", frame).withColumn("__frame", F.filter("__frame", lambda x: ~gone(x)))

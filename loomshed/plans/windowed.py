@@ -155,12 +155,13 @@ def window_exclude_any(spark, d):
 
 @query("SELECT event_id, count(*) {0} AS n, max(cents) {0} AS most, sum(cents) {0} AS total FROM (SELECT *, round(value * 100)::BIGINT AS cents FROM events)".format("OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) ROWS BETWEEN 90 PRECEDING AND 90 FOLLOWING EXCLUDE GROUP)").replace("sum(cents)", "sum(cents)::DOUBLE").replace("sum(cents)::DOUBLE OVER", "sum(cents::DOUBLE) OVER"))
 def window_exclude_group(spark, d):
-    """EXCLUDE GROUP: a user's events of other days; the frame is wide enough to hold all of a user's."""
+    """EXCLUDE GROUP: a user's events of other days. Of users with more than 91 events the SQL leaves open which of a day's the frame's edge cuts off: here the event_id decides."""
     e = table(spark, d, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "group", {"n": ("count", "event_id"), "most": ("max", "cents"), "total": ("sum", "cents")}).select("event_id", "n", "most", "total")
+    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "group", {"n": ("count", "event_id"), "most": ("max", "cents"), "total": ("sum", "cents")}, (F.col("event_id"),)).select("event_id", "n", "most", "total")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) ROWS BETWEEN 90 PRECEDING AND 90 FOLLOWING EXCLUDE TIES) AS n FROM events")
 def window_exclude_ties(spark, d):
+    """EXCLUDE TIES, the frame's edges as in window_exclude_group."""
     e = table(spark, d, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day"))
-    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "ties", {"n": ("count", "event_id")}).select("event_id", "n")
+    return excluding(e, ["user_id"], [F.col("day")], 90, 90, "ties", {"n": ("count", "event_id")}, (F.col("event_id"),)).select("event_id", "n")

@@ -85,6 +85,21 @@ def test_exclude_equals_brute_force(spark, exclude):
     assert excluding(df.limit(0), ["k"], [F.col("o")], 1, 1, exclude, kinds).count() == 0
 
 
+@pytest.mark.parametrize("exclude", ["group", "ties"])
+def test_excluding_reruns_agree(spark, exclude):
+    """A frame's edge cuts peers off by the unique key, however the rows come."""
+    rows = [(k, k * 7 % 3, k * 5 % 11) for k in range(60)]
+    want = {}
+    by = sorted(rows, key=lambda r: (r[1], r[0]))
+    for at, r in enumerate(by):
+        frame = by[max(0, at - 4) : at + 4]
+        want[r[0]] = [x[0] for x in frame if x[1] != r[1] or (exclude == "ties" and x[0] == r[0])]
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, 60), "id int, o int, v int").withColumn("k", F.lit(1))
+        got = excluding(df, ["k"], [F.col("o")], 4, 3, exclude, {"ids": ("list", "id")}, (F.col("id"),)).collect()
+        assert {r.id: r.ids for r in got} == want
+
+
 def test_trimmed_means(spark):
     """A hot key, a null key, nulls and NaN, values below zero, a key of one value."""
     rng = random.Random(7)
