@@ -8,6 +8,10 @@ rows need no comparison.
 
 Whether a row has any partner needs no join: for one inequality the other side's extreme value is enough, for two the extreme of one value
 over all that the other inequality leaves, which is a running value over both sides in order.
+
+Nor do totals over all partners of a row: rows that have to be smaller are numbered in order of the first value, the others get the count of those below
+them, and the digits of these numbers are the keys. Under a key all pairs meet the first inequality, so that a running total in order of the second one
+is the answer. That is rows x digits however many pairs there are.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .global_windows import running
 
 #: Both sides meet in so many ranges, a power of two.
@@ -102,6 +107,45 @@ def inequality_join(left: DataFrame, right: DataFrame, *conditions: str, ranges:
     return pairs.select(*left.columns, *right.columns)
 
 
+def inequality_totals(left: DataFrame, right: DataFrame, first: str, second: str, n: str, sums: dict[str, str]) -> DataFrame:
+    """Left rows that have partners under both conditions, with the number of these (`n`) and sums over right columns (name -> column); no pair is made.
+
+    Left rows that repeat stay and have the same totals. A sum passes over nulls, and is null where all are. An empty side gives no row.
+    """
+    tests = [condition(first), condition(second)]
+    # turned conditions are those of the negated values; adding 0.0 makes -0.0 and 0.0 one
+    value = lambda df, t, c: (-number(df, c) if t.turned else number(df, c)) + F.lit(0.0)
+    points = left.select(*(value(left, t, t.left).alias(v) for t, v in zip(tests, "xy", strict=True)), F.struct(*left.columns).alias("of")).where("not isnan(x) and not isnan(y)")
+    others = right.select(*(value(right, t, t.right).alias(v) for t, v in zip(tests, "xy", strict=True)), *(F.col(c).alias(f"s{k}") for k, c in enumerate(sums.values())))
+    # what can't have a partner goes first, by the other side's extremes; right rows at one point are one
+    most = others.where("x is not null and y is not null").agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    if most.x is None:
+        points = points.limit(0)
+    points = written(points.where((F.col("x") <= F.lit(most.x)) & (F.col("y") <= F.lit(most.y))), "points")
+    least = points.agg(F.min("x").alias("x"), F.min("y").alias("y")).first()
+    others = others.where((F.col("x") >= F.lit(least.x)) & (F.col("y") >= F.lit(least.y)))
+    added = [f"s{k}" for k in range(len(sums))]
+    others = others.groupBy("x", "y").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in added))
+
+    # of equal values the right side comes first if they don't count as less, else the left
+    side = lambda t, is_right: F.lit(is_right == t.equal)
+    both = points.withColumn("e", side(tests[0], False)).unionByName(others.withColumn("e", side(tests[0], True)), allowMissingColumns=True)
+    numbered = written(running(both, ["x", "e", "y"], {"k": ("count", F.when(F.col("of").isNotNull(), 1))}), "numbered")
+    points = numbered.where("of is not null").withColumn("k", F.col("k") - 1)
+    upto = numbered.where("of is null and k > 0").groupBy("k", "y").agg(*(F.sum(c).alias(c) for c in ("n", *added)))
+
+    digits = max(1, (numbered.agg(F.max("k")).first()[0] or 0).bit_length())
+    digit = lambda d: F.shiftright("k", d).bitwiseAND(F.lit(1))
+    keys = lambda smaller: F.explode(F.array_compact(F.array(*(F.when(digit(d) == (0 if smaller else 1), F.struct(F.lit(d).alias("d"), F.shiftright("k", d + 1).alias("above"))) for d in range(digits))))).alias("key")
+    # those that are larger in the second value come before what they are larger than
+    rows = points.select(keys(True), (-F.col("y")).alias("y"), (~side(tests[1], False)).alias("e"), F.col("k").alias("id"))
+    rows = rows.unionByName(upto.select(keys(False), (-F.col("y")).alias("y"), (~side(tests[1], True)).alias("e"), "n", *added), allowMissingColumns=True)
+    rows = rows.select(F.col("key.d").alias("d"), F.col("key.above").alias("above"), "y", "e", "id", "n", *added)
+    totals = running(rows, ["y", "e"], {f"t_{c}": ("sum", c) for c in ("n", *added)}, ("d", "above")).where("id is not null")
+    totals = totals.groupBy("id").agg(*(F.sum(f"t_{c}").alias(f"t_{c}") for c in ("n", *added))).where("t_n > 0")
+    return points.select("of", "k").join(totals, F.col("k") == F.col("id")).select("of.*", F.col("t_n").cast("bigint").alias(n), *(F.col(f"t_{c}").alias(name) for c, name in zip(added, sums, strict=True)))
+
+
 def marked(left: DataFrame, right: DataFrame, conditions: tuple[str, ...], name: str) -> DataFrame:
     """left with `name`: whether any right row meets all conditions (one or two)."""
     tests = [condition(c) for c in conditions]

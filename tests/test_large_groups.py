@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomshed.operators.global_windows import framed, numbered, ranked, running
-from loomshed.operators.inequality import condition, inequality_anti, inequality_full, inequality_join, inequality_semi
+from loomshed.operators.inequality import condition, inequality_anti, inequality_full, inequality_join, inequality_semi, inequality_totals
 from loomshed.operators.selection import exact_percentiles
 
 
@@ -127,6 +127,20 @@ def test_inequality_joins(spark, ops, ranges):
         assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("ops", ["<<", "<=<", ">=<=", "<>", ">>=", "<=>="])
+def test_inequality_totals_make_no_pairs(spark, ops):
+    parts = {"<<": ["<", "<"], "<=<": ["<=", "<"], ">=<=": [">=", "<="], "<>": ["<", ">"], ">>=": [">", ">="], "<=>=": ["<=", ">="]}[ops]
+    left, right, a, b = sides(spark, len(ops))
+    conditions = [f"{x} {op} {y}" for (x, y), op in zip((("a", "b"), ("c", "d")), parts, strict=True)]
+    meets = lambda p, q: all(p[k] is not None and q[k] is not None and OPS[op](p[k], q[k]) for k, op in enumerate(parts, 1))
+    want = sorted((p[0], len(m), sum(m)) for p in left if (m := [q[0] for q in right if meets(p, q)]))
+    assert sorted(tuple(r) for r in inequality_totals(a, b, *conditions, "n", {"s": "r"}).select("l", "n", "s").collect()) == want and want
+    assert inequality_totals(a, b.limit(0), *conditions, "n", {"s": "r"}).count() == 0 == inequality_totals(a.limit(0), b, *conditions, "n", {}).count()
+    # as many pairs as rows squared, and rows times digits at most under the keys
+    many = inequality_totals(spark.range(3000).selectExpr("id l", "id a", "id c"), spark.range(3000).selectExpr("id r", "id + 3000 b", "id + 3000 d"), "a < b", "c < d", "n", {"s": "r"})
+    assert many.where("n = 3000 and s = 4498500").count() == 3000
+
+
 def test_inequality_joins_of_empty_tables(spark):
     _, _, a, b = sides(spark, 1)
     assert inequality_join(a, b.limit(0), "a < b").count() == 0 == inequality_semi(a, b.limit(0), "a < b", "c > d").count()
