@@ -13,9 +13,12 @@ from ..sources.tables import scratch, table
 def event_stream(spark: SparkSession, folder: str, batches: int = 4, files: int = 2) -> DataFrame:
     """The events in order of time, `files` files per batch. Watermarks need a time zone: ts becomes a timestamp in the session's."""
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    bounds = events.stat.approxQuantile("event_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    edges = [float("-inf"), *bounds, float("inf")]
-    return replayed(spark, [events.where((F.col("event_id") > low) & (F.col("event_id") <= high)) for low, high in zip(edges, edges[1:], strict=False)], files)
+    # cut by time itself: ids need not follow it, and rows of a later batch would be late; rows without a time come first
+    at = F.coalesce(F.unix_micros("ts").cast("double"), F.lit(float("-inf")))
+    bounds = events.select(F.unix_micros("ts").cast("double").alias("at")).stat.approxQuantile("at", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    edges = [None, *bounds, None] if bounds else [None, None]
+    within = lambda low, high: (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+    return replayed(spark, [events.where(within(low, high)) for low, high in zip(edges, edges[1:], strict=False)], files)
 
 
 def replayed(spark: SparkSession, parts: list[DataFrame], files: int = 1) -> DataFrame:

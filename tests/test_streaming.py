@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from loomshed.sources import ledger
 from loomshed.sources.tables import scratch
-from loomshed.streaming.replay import collected, filed, restarted
-from loomshed.streaming.timers import timed_sessions
+from loomshed.streaming.replay import collected, event_stream, filed, restarted
+from loomshed.streaming.timers import Sessions, timed_sessions
+from loomshed.streaming.totals import Totals
 
 
 def test_late_rows_are_dropped(spark):
@@ -81,3 +83,56 @@ def test_ledger(spark):
     assert filed(stream, runs=3).count() == 25
     with pytest.raises(Exception, match="added to"):
         df.write.format("ledger").mode("overwrite").save(path)
+
+
+def test_batches_follow_time(spark):
+    """Ids that don't follow time make no row late; a row without a time stays."""
+    folder, t = scratch(spark, "unordered"), datetime(2024, 1, 1)
+    rows = [(k, t + timedelta(hours=h), 1, "view", 1.0) for k, h in enumerate([0, 9, 3, 30, 1, 20, 5, 40, 2, 12])] + [(10, None, 1, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    assert sorted(r.event_id for r in collected(event_stream(spark, folder).select("event_id"), "append").collect()) == list(range(11))
+    found = collected(timed_sessions(event_stream(spark, folder)), "append").collect()
+    assert sorted((r.first - t) // timedelta(hours=1) for r in found) == [0, 1, 2, 3, 5, 9, 12, 20, 30]
+
+
+class Counted:
+    """State and timers of one key, and how many messages went to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.messages = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def _said(self, f):
+        self.messages += 1
+        return f
+
+    get = lambda self: self._said(self.value)
+    update = lambda self, v: self._said(setattr(self, "value", v))
+    clear = lambda self: self._said(setattr(self, "value", None))
+    registerTimer = lambda self, t: self._said(self.timers.add(t))
+    deleteTimer = lambda self, t: self._said(self.timers.remove(t))
+
+
+def test_messages_do_not_grow_with_sessions():
+    """A batch that opens 100 sessions, and a watermark that closes 60 of them, cost a few messages."""
+    state, sessions, hour = Counted(), Sessions(30), 3_600_000_000
+    sessions.init(state)
+    list(sessions.handleInputRows((1,), iter([SimpleNamespace(moment=k * hour) for k in range(100)]), None))
+    assert state.timers == {30 * 60_000} and state.messages <= 4
+    state.timers.clear()  # Spark removes the timer that has expired
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 60 * 3_600_000, getExpiryTimeInMs=lambda: 30 * 60_000)
+    out = list(sessions.handleExpiredTimer((1,), times, times))
+    assert [r.first for r in out] == [k * hour for k in range(60)] and state.timers == {60 * 3_600_000 + 30 * 60_000} and state.messages <= 8
+    list(sessions.handleInputRows((1,), iter([SimpleNamespace(moment=60 * hour + 60_000_000)]), None))
+    assert state.timers == {60 * 3_600_000 + 31 * 60_000} and len(state.value[0]) == 40
+
+
+def test_totals_ask_the_state_twice():
+    state, totals = Counted(), Totals()
+    totals.init(state)
+    for values, want in (([1.0, None, 2.5], (3, 3.5)), ([4.0], (4, 7.5))):
+        before = state.messages
+        rows = list(totals.handleInputRows((1,), iter([SimpleNamespace(value=v) for v in values]), None))
+        assert [(r.n, r.total) for r in rows] == [want] and state.messages - before == 2
