@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomshed.functions import vectors
 from loomshed.functions.text import ngrams, strip_tags
 from loomshed.functions.vectors import cosine
 from loomshed.operators.asof import asof_join
@@ -151,3 +153,17 @@ def test_salts_by_a_unique_key_come_again(spark):
     other = df.groupBy("k").agg(F.count("*").alias("n"))
     rows = [sorted(map(tuple, salted_join(df.repartition(p), other, "k", 5, unique=("id",)).collect())) for p in (1, 7)]
     assert rows[0] == rows[1] and len(rows[0]) == 4000
+
+
+def test_vectors_compared_in_blocks(spark):
+    """Every pair once, over several blocks and tasks; nulls, other lengths and vectors without a length give nulls."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(1100)] + [(1100, None), (1101, [0.0] * 4), (1102, [1.0, None, 2.0, 3.0]), (1103, [1.0, 2.0]), (1104, rng.normal(size=4).tolist())]
+    rows.append((1104, rows[0][1]))
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    q = df.where("id % 6 = 0 or id > 1099")
+    found = vectors.compared(df.coalesce(1), q, "id", "v", "q", 5)
+    same = df.crossJoin(q.toDF("q", "w")).select("q", "id", *(F.round(f("v", "w"), 5).alias(n) for n, f in (("cos", cosine), ("dot", vectors.dot), ("dist", vectors.distance))))
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    shown = lambda d: sorted(repr(tuple(None if x is None else round(x, 4) + 0.0 for x in r)) for r in d.collect())
+    assert shown(found) == shown(same) and found.count() == len(rows) * q.count()
