@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from compare import connection
 from pyspark.sql import functions as F
 
 from loomshed import plans
@@ -100,6 +101,22 @@ def test_excluding_reruns_agree(spark, exclude):
         assert {r.id: r.ids for r in got} == want
 
 
+@pytest.mark.parametrize("name", ["window_exclude_group"])
+def test_exclude_beyond_the_frame(spark, name):
+    """At sf0.1 some users have more events than a frame's half: their rows are as the SQL's with event_id behind the day, all others as the SQL's."""
+    plans.load()
+    folder, con = "/root/testdata/sf0.1", connection("/root/testdata/sf0.1")
+    got = {r.event_id: tuple(r)[1:] for r in plans.QUERIES[name](spark, folder).collect()}
+    few = "event_id IN (SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) <= 91))"
+    same = con.execute(f"SELECT * FROM ({plans.ORACLES[name]}) WHERE {few}").fetchall()
+    assert len(got) == 100_000 and 99_000 < len(same) < 100_000 and all(got[r[0]] == r[1:] for r in same)
+    rows = "SELECT *, date_trunc('day', ts) AS day, round(value * 100)::BIGINT AS cents FROM events"
+    w = "OVER (PARTITION BY user_id ORDER BY day, event_id ROWS BETWEEN 90 PRECEDING AND 90 FOLLOWING)"
+    for key, day, frame in con.execute(f"SELECT event_id, day, frame FROM (SELECT event_id, day, list({{'id': event_id, 'day': day, 'cents': cents}}) {w} AS frame FROM ({rows})) WHERE NOT {few}").fetchall():
+        left = [x["cents"] for x in frame if x["day"] != day or (name == "window_exclude_ties" and x["id"] == key)]
+        assert got[key] == ((len(left), max(left), float(sum(left))) if name == "window_exclude_group" else (len(left),))
+
+
 def test_trimmed_means(spark):
     """A hot key, a null key, nulls and NaN, values below zero, a key of one value."""
     rng = random.Random(7)
