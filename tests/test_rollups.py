@@ -101,7 +101,7 @@ def test_excluding_reruns_agree(spark, exclude):
         assert {r.id: r.ids for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["window_exclude_group"])
+@pytest.mark.parametrize("name", ["window_exclude_group", "window_exclude_ties"])
 def test_exclude_beyond_the_frame(spark, name):
     """At sf0.1 some users have more events than a frame's half: their rows are as the SQL's with event_id behind the day, all others as the SQL's."""
     plans.load()
