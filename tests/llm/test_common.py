@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import os
 import random
+import time
 
 import pyarrow as pa
 from llm.helpers import ODD, documents
 from pyspark.sql import functions as F
 
 from loomshed.llm import queries
-from loomshed.llm.common import MOST_SENT, Scratch, held_out, held_out_col, slices, small, words_of
+from loomshed.llm.common import FILES_GO, MOST_SENT, Scratch, held_out, held_out_col, slices, small, words_of
 
 
 def test_slices_keep_all_rows():
@@ -87,3 +89,18 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(cluster)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """Not only when garbage is collected; the session's setting is as before."""
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    work, df, before = Scratch(spark, "brief"), spark.range(1000).repartition(3, "id"), files()
+    work.brief = True
+    saved = work.save(df, "t")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(FILES_GO, None) is None
+    assert saved.count() == 1000 and sorted(r.id for r in df.collect()) == list(range(1000))
